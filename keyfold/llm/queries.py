@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import mixing, simhash
+from keyfold.llm import embeddings, mixing, simhash
 from keyfold.llm.shared import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,11 @@ def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-_QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash}
+def op9_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, d, "embeddings"), cosine=0.98)
+
+
+_QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op9_embeddings": op9_embeddings}
 _SQL: dict[str, str] = {}
 
 

@@ -59,6 +59,61 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def in_blocks(rows: DataFrame, member: str, block: int) -> DataFrame:
+    """Rows with a ``key``, dealt out so that rows of equal key meet, sorted by (key, i, j).
+
+    A key with more than ``block`` rows is cut into blocks by a hash of ``member``, and every pair of blocks (i, j) is
+    work of its own. ``side`` is 2 where i = j, else 0 or 1 by block: rows of the same side meet elsewhere.
+    """
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    large = staged(size.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
+    rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    side = F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("i")).cast("int")).cast("byte")
+    return rows.withColumn("side", side).drop("own", "other", "blocks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Batches of sorted rows as tables of whole buckets, with each bucket's start and size."""
+    held = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        starts = _starts(held)
+        if len(starts) > 1:
+            yield held.slice(0, starts[-1]), starts[:-1], np.diff(starts)
+            held = held.slice(starts[-1]).combine_chunks()
+    if held is not None and len(held):
+        starts = _starts(held)
+        yield held, starts, np.diff(np.append(starts, len(held)))
+
+
+def _starts(held: pa.Table) -> np.ndarray:
+    new = np.zeros(len(held), bool)
+    new[:1] = True
+    for c in ("key", "i", "j"):
+        x = held.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """From a symmetric matrix of links, (first index, other) for all others of each component."""
+    left, found = np.ones(len(near), bool), []
+    for i in np.flatnonzero(near.any(axis=1)):
+        if not left[i]:
+            continue
+        left[i] = False
+        front = np.array([i])
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & left)
+            left[front] = False
+            found += [(i, j) for j in front.tolist()]
+    return found
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: bigint) to (node, component: bigint), component being the smallest node that links reach.
 

@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import columns, components, splitmix, staged, utf8
+from keyfold.llm.shared import columns, components, forest, in_blocks, splitmix, staged, utf8, whole_buckets
 
 BITS = 64
 #: Shingles counted at a time, so that a very long text needs no more memory than a short one.
 CHUNK = 1 << 15
 #: Rows of a bucket that meet in one task; a larger bucket is cut into blocks, and each pair of blocks is a task's work.
 BLOCK = 512
+#: Buckets of up to so many rows are compared side by side.
+SMALL = 8
 #: Time to make and move one probe row over the time to compare two fingerprints.
 ROW_COST = 300.0
 
@@ -181,23 +183,8 @@ def probes(fps: DataFrame, parts: Parts) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
 
 
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """From a symmetric matrix of links, (smallest index, other) for each component."""
-    left, found = np.ones(len(near), bool), []
-    for i in np.flatnonzero(near.any(axis=1)):
-        if not left[i]:
-            continue
-        left[i] = False
-        front = np.array([i])
-        while len(front):
-            front = np.flatnonzero(near[front].any(axis=0) & left)
-            left[front] = False
-            found += [(i, j) for j in front.tolist()]
-    return found
-
-
 def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links in one bucket as a forest: never more than its members. side: 0 and 1 are different blocks, 2 is a block by itself."""
+    """Links in one bucket as a forest: fewer than its members."""
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance
     near &= ~(probe[:, None] & probe[None, :])
     if side[0] != 2:
@@ -208,58 +195,32 @@ def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance:
 
 def links(fps: DataFrame, parts: Parts, distance: int) -> DataFrame:
     """(a, b) that connect distinct fingerprints just as all pairs within ``distance`` bits do."""
-    rows = probes(fps, parts)
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    large = staged(size.filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
-    rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "fp", "probe", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"))
-    side = F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("i")).cast("int"))
-    rows = rows.withColumn("side", side.cast("byte")).drop("own").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            new = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "fp", "probe", "side")}
-            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
-            starts = _starts(held)
-            if len(starts) > 1:
-                yield _linked({c: v[: starts[-1]] for c, v in held.items()}, starts[:-1], distance)
-                held = {c: v[starts[-1] :] for c, v in held.items()}
-        if held is not None and len(held["key"]):
-            yield _linked(held, _starts(held), distance)
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
+        for rows, starts, sizes in whole_buckets(batches):
+            yield _linked(rows, starts, sizes, distance)
 
-def _starts(held: dict[str, np.ndarray]) -> np.ndarray:
-    new = np.zeros(len(held["key"]), bool)
-    new[:1] = True
-    for c in ("key", "i", "j"):
-        new[1:] |= held[c][1:] != held[c][:-1]
-    return np.flatnonzero(new)
+    return in_blocks(probes(fps, parts), "fp", BLOCK).mapInArrow(run, "a long, b long").distinct()
 
 
-def _linked(rows: dict[str, np.ndarray], starts: np.ndarray, distance: int) -> pa.RecordBatch:
+def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int) -> pa.RecordBatch:
     """Small buckets are compared side by side for a whole batch, larger ones each by a matrix."""
-    fp, n = rows["fp"].view(np.uint64), len(rows["fp"])
-    sizes = np.diff(np.append(starts, n))
+    fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
+    probe = rows.column("probe").to_numpy()
     left, right = [], []
     group = np.repeat(np.arange(len(starts)), sizes)
-    small = np.flatnonzero((sizes > 1) & (sizes <= 8))
-    inside = np.isin(group, small)
-    for k in range(1, 8):
-        here = np.flatnonzero(inside[:-k] & (group[:-k] == group[k:])) if n > k else np.empty(0, np.int64)
+    inside = np.repeat(sizes <= SMALL, sizes)
+    for k in range(1, min(SMALL, len(fp))):
+        here = np.flatnonzero(inside[:-k] & (group[:-k] == group[k:]))
         there = here + k
-        ok = (np.bitwise_count(fp[here] ^ fp[there]) <= distance) & ~(rows["probe"][here] & rows["probe"][there])
-        ok &= (rows["side"][here] == 2) | (rows["side"][here] != rows["side"][there])
+        ok = (np.bitwise_count(fp[here] ^ fp[there]) <= distance) & ~(probe[here] & probe[there])
+        ok &= (side[here] == 2) | (side[here] != side[there])
         left.append(fp[here[ok]])
         right.append(fp[there[ok]])
-    for g in np.flatnonzero(sizes > 8):
+    for g in np.flatnonzero(sizes > SMALL):
         s = slice(starts[g], starts[g] + sizes[g])
-        if not rows["probe"][s].all():
-            for a, b in _bucket_links(fp[s], rows["probe"][s], rows["side"][s], distance):
+        if not probe[s].all():
+            for a, b in _bucket_links(fp[s], probe[s], side[s], distance):
                 left.append(fp[s][a : a + 1])
                 right.append(fp[s][b : b + 1])
     both = [np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64) for x in (left, right)]
