@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import embeddings, mixing, simhash
+from keyfold.llm import embeddings, mixing, quality, simhash
 from keyfold.llm.shared import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,18 @@ def op9_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, d, "embeddings"), cosine=0.98)
 
 
-_QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op9_embeddings": op9_embeddings}
+def op10_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    out = quality.judged(docs.select("doc_id", "text"), quality.fit(docs, _table(spark, d, "labels")))
+    return out.select("doc_id", *(F.col("counts")[c].alias(c) for c in quality.BASE), "base_failed", "rule", "kept")
+
+
+_QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
+    "op9_embeddings": op9_embeddings,
+    "op10_quality": op10_quality,
+}
 _SQL: dict[str, str] = {}
 
 
