@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import embeddings, mixing, quality, simhash
-from keyfold.llm.shared import staged
+from keyfold.llm import embeddings, linededup, mixing, quality, simhash, warc
+from keyfold.llm.shared import new_folder, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,14 @@ def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, d, "pages"), new_folder(spark, "warc"), least=0)
+
+
+def op8_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op9_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, d, "embeddings"), cosine=0.98)
 
@@ -42,10 +50,12 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op7_warc": op7_warc,
+    "op8_line_dedup": op8_line_dedup,
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
 }
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {"op7_warc": warc.SQL, "op8_line_dedup": linededup.SQL}
 
 
 def queries() -> dict[str, Query]:
