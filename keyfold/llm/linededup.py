@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed")
     cut = staged(later_windows(docs), "cuts").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("at").alias("_at"))
-    both = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left")
+    # a merge join at any size: cuts grow with the corpus, and the plan should not change on the way
+    both = docs.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left")
     touched = F.col("_at").isNotNull()
     new = F.arrow_udf(_cut, "struct<text:string,n_removed:bigint>").asNondeterministic()(F.when(touched, F.col("text")), F.col("_at"))
     both = both.withColumn("_new", new).withColumns(
