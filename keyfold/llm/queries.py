@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import embeddings, linededup, mixing, quality, simhash, warc
+from keyfold.llm import embeddings, linededup, mixing, pii, quality, simhash, warc
 from keyfold.llm.shared import new_folder, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.replace(_table(spark, d, "documents").select("doc_id", "text"), key="a key of the run")
+
+
 def op7_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, d, "pages"), new_folder(spark, "warc"), least=0)
 
@@ -50,6 +54,7 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
     "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_embeddings": op9_embeddings,
