@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import embeddings, linededup, mixing, pii, quality, simhash, warc
+from keyfold.llm import embeddings, linededup, mixing, packing, pieces, pii, quality, simhash, warc
 from keyfold.llm.shared import new_folder, staged
 
+#: Vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,6 +36,14 @@ def op3_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.replace(_table(spark, d, "documents").select("doc_id", "text"), key="a key of the run")
 
 
+def op4_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents"), vocabulary=f"{TOKENIZERS}/byte_bpe_50k.tiktoken", eos=50256, length=2048)
+
+
+def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.encode(_table(spark, d, "documents"), model=f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op7_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, d, "pages"), new_folder(spark, "warc"), least=0)
 
@@ -55,6 +66,8 @@ _QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
+    "op4_packing": op4_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_embeddings": op9_embeddings,
