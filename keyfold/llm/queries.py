@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import embeddings, linededup, mixing, packing, pieces, pii, quality, simhash, warc
+from keyfold.llm import embeddings, linededup, mixing, packing, pieces, pii, quality, simhash, suffixes, warc
 from keyfold.llm.shared import new_folder, staged
 
 #: Vocabulary files of public tokenizers.
@@ -44,6 +44,11 @@ def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return pieces.encode(_table(spark, d, "documents"), model=f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op6_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = suffixes.remove_repeats(_table(spark, d, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, d, "pages"), new_folder(spark, "warc"), least=0)
 
@@ -68,6 +73,7 @@ _QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_embeddings": op9_embeddings,
