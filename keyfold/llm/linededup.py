@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import WORD, staged
+from keyfold.llm.shared import WORD, staged, wrapped
 
 WINDOW = 3
 
@@ -53,19 +53,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     results. A text of fewer than three lines has no window and stays, as does a null text; a text all of whose lines
     go is empty. An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    cut = staged(later_windows(docs), "cuts").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("at").alias("_at"))
+    cut = staged(later_windows(docs), "cuts").withColumnRenamed("doc_id", "id")
     # a merge join at any size: cuts grow with the corpus, and the plan should not change on the way
-    both = docs.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left")
-    touched = F.col("_at").isNotNull()
-    new = F.arrow_udf(_cut, "struct<text:string,n_removed:bigint>").asNondeterministic()(F.when(touched, F.col("text")), F.col("_at"))
-    both = both.withColumn("_new", new).withColumns(
-        {
-            "n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint"),
-            "n_removed": F.col("_new.n_removed"),
-        }
-    )
-    return both.withColumn("text", F.when(touched, F.col("_new.text")).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "n_removed")
+    both = wrapped(docs, "doc_id", "text").join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left")
+    touched = F.col("at").isNotNull()
+    new = F.arrow_udf(_cut, "struct<text:string,n_removed:bigint>").asNondeterministic()(F.when(touched, F.col("text")), F.col("at"))
+    both = both.withColumn("new", new)
+    names = docs.columns
+    text = F.when(touched, F.col("new.text")).otherwise(F.col("text")).alias("text")
+    kept = dict(zip(names, [F.col("row").getField(c).alias(c) for c in names], strict=True)) | {"text": text}
+    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint").alias("n_lines")
+    return both.select(*(kept[c] for c in names if c not in ("n_lines", "n_removed")), n_lines, F.col("new.n_removed").alias("n_removed"))
 
 
 SQL = """

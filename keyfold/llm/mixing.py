@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import staged, word_count
+from keyfold.llm.shared import staged, unwrapped, word_count
 
 #: Bins that a source's ranks are counted in. Only the bin in which the sample ends is looked at row by row.
 BINS = 4096
@@ -112,10 +112,11 @@ def mix(docs: DataFrame, *, seed: int = 0, boost: Column | None = None, **option
     Null texts and texts without words have size 0 and are never taken; null is a source, the last. Rows equal in id
     and text are taken together. An empty table gives an empty result. ``explode_copies`` repeats the rows.
     """
-    docs = docs.drop(*ADDED, *_WORK)
-    ready = sized(docs, boost=boost, seed=seed)
+    held = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", *([] if boost is None else [boost.alias("boost")]))
+    ready = sized(held, boost=None if boost is None else F.col("boost"), seed=seed)
     narrow = staged(ready.select("source", "size", *_WORK), "sizes")
-    return copies(ready, plan(narrow, **options))
+    out = copies(ready, plan(narrow, **options))
+    return out.select(*unwrapped(out, *ADDED), *ADDED)
 
 
 def explode_copies(mixed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import staged
+from keyfold.llm.shared import staged, wrapped
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _END = r"(?![\p{L}\p{N}])"
@@ -248,7 +248,6 @@ def replace(docs: DataFrame, *, key: str) -> DataFrame:
     without a mention stay as they are. The same key gives the same surrogates for the same corpus. Rows equal in id
     and text get equal results. An empty table gives an empty result.
     """
-    docs = docs.drop("n_entities")
     held = staged(mentions(docs).distinct(), "mentions")
     pieces = staged(tokens(held.select("mention").distinct()), "tokens")
     new = settled(pieces.filter("kind is not null").select("kind", "norm").distinct(), key)
@@ -256,13 +255,14 @@ def replace(docs: DataFrame, *, key: str) -> DataFrame:
     rendered = rendered.withColumn("out", F.when(F.col("kind").isNull(), F.col("raw")).otherwise(_rendered(F.col("kind"), F.col("raw"), F.col("new"))))
     whole = rendered.groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("at", "out"))).alias("parts"))
     whole = staged(whole.select("mention", F.array_join(F.col("parts.out"), "").alias("out")), "rendered")
-    per_doc = held.join(whole, "mention").groupBy("doc_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("mention", "out"))).alias("_map"))
-    per_doc = staged(per_doc.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "_map"), "replacements")
-    both = docs.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left")
-    touched = F.col("_map").isNotNull()
+    per_doc = held.join(whole, "mention").groupBy("doc_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("mention", "out"))).alias("map"))
+    per_doc = staged(per_doc, "replacements").withColumnRenamed("doc_id", "id")
+    both = wrapped(docs, "doc_id", "text").join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left")
+    touched = F.col("map").isNotNull()
     found = F.when(touched, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     between = F.when(touched, F.split("text", ANY, -1))
-    both = both.withColumns({"_found": found, "_between": between})
-    put = F.zip_with("_between", F.concat("_found", F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.coalesce(F.element_at("_map", m), m)))
-    text = F.when(touched, F.array_join(put, "")).otherwise(F.col("text"))
-    return both.withColumns({"text": text, "n_entities": F.coalesce(F.size("_found"), F.lit(0)).cast("bigint")}).select(*docs.columns, "n_entities")
+    both = both.withColumns({"found": found, "between": between})
+    put = F.zip_with("between", F.concat("found", F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.coalesce(F.element_at("map", m), m)))
+    text = F.when(touched, F.array_join(put, "")).otherwise(F.col("text")).alias("text")
+    kept = {c: F.col("row").getField(c).alias(c) for c in docs.columns} | {"text": text}
+    return both.select(*(kept[c] for c in docs.columns if c != "n_entities"), F.coalesce(F.size("found"), F.lit(0)).cast("bigint").alias("n_entities"))

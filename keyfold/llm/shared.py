@@ -48,6 +48,17 @@ def utf8(texts: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def wrapped(docs: DataFrame, *beside: str) -> DataFrame:
+    """All columns as one struct ``row``, and some beside it: what an operator adds then clashes with none of them."""
+    return docs.select(F.struct("*").alias("row"), *beside)
+
+
+def unwrapped(docs: DataFrame, *but: str) -> list[Column]:
+    """The columns of ``row`` again, in order, without those named."""
+    names = docs.schema["row"].dataType.names
+    return [F.col("row").getField(c).alias(c) for c in names if c not in but]
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

@@ -16,10 +16,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import columns, components, forest, in_blocks, splitmix, staged, utf8, whole_buckets
+from keyfold.llm.shared import columns, components, in_blocks, splitmix, staged, unwrapped, utf8, whole_buckets, wrapped
 
 BITS = 64
 #: Shingles counted at a time, so that a very long text needs no more memory than a short one.
@@ -51,16 +51,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp: bigint). Null texts count as texts without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, t, fp: bigint), t being a hash of the text. Null texts count as texts without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = columns(batch, "doc_id", "text")
+            ids, t, texts = columns(batch, "doc_id", "t", "text")
             fps = np.fromiter((fingerprint(t, shingle) for t in utf8(texts)), np.uint64, len(texts))
-            yield pa.record_batch([ids, pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.record_batch([ids, t, pa.array(fps.view(np.int64))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t"), "text")
+    return rows.mapInArrow(run, "doc_id long, t long, fp long")
 
 
 @dataclass(frozen=True)
@@ -183,14 +184,33 @@ def probes(fps: DataFrame, parts: Parts) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
 
 
+def nearest_forest(far: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of least distances: at any threshold up to ``distance`` it connects what all pairs connect."""
+    left, found = (far <= distance).any(axis=1), []
+    best, by = np.full(len(far), 255, np.uint8), np.zeros(len(far), np.int64)
+    while left.any():
+        i = int(left.argmax())
+        while True:
+            left[i] = False
+            nearer = left & (far[i] < best)
+            best[nearer], by[nearer] = far[i][nearer], i
+            open_ = np.where(left, best, 255)
+            i = int(open_.argmin())
+            if open_[i] > distance:
+                break
+            found.append((int(by[i]), i))
+    return found
+
+
 def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links in one bucket as a forest: fewer than its members."""
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance
-    near &= ~(probe[:, None] & probe[None, :])
+    far = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    meet = ~(probe[:, None] & probe[None, :])
     if side[0] != 2:
-        near &= side[:, None] != side[None, :]
-    np.fill_diagonal(near, False)
-    return forest(near)
+        meet &= side[:, None] != side[None, :]
+    np.fill_diagonal(meet, False)
+    far[~meet] = 255
+    return nearest_forest(far, distance)
 
 
 def links(fps: DataFrame, parts: Parts, distance: int) -> DataFrame:
@@ -227,20 +247,73 @@ def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int
     return pa.record_batch([pa.array(x) for x in both], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): a row per document; component_id is the smallest doc_id that links reach.
+#: Links of up to so many bits are taken as they are where texts are compared; unrelated texts are never so near.
+SURE = 4
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(fp, s): the set of 32-bit hashes of a text's shingles."""
+
+    def shingles(text: bytes) -> np.ndarray:
+        words = text.lower().split()
+        n = max(1, len(words) - shingle + 1) if words else 0
+        return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint32, n)).view(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, texts = columns(batch, "fp", "text")
+            yield pa.record_batch([fps, pa.array([shingles(t) for t in utf8(texts)], pa.list_(pa.int32()))], names=["fp", "s"])
+
+    return docs.select("fp", "text").mapInArrow(run, "fp long, s array<int>")
 
-    docs: doc_id and text; other columns are not looked at. Equal fingerprints are one node of the graph, so copies
-    cost a count. Texts that are null, empty or without words have fingerprint 0 and are linked like any other. A null
-    doc_id is never the smallest; a group with no other has a null component_id. Rows repeat as given. An empty table
-    gives an empty result.
+
+def similar_links(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Links whose texts' shingle sets have ``similarity`` of their union in common, and those of SURE bits.
+
+    Each fingerprint is stood for by its first document.
+    """
+    edges = staged(edges.withColumn("far", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))), "links")
+    open_ = edges.filter(F.col("far") > SURE)
+    needed = open_.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.t").alias("_t"))
+    texts = docs.select("doc_id", "text").join(staged(needed, "needed").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t")))
+    sets = staged(_shingle_sets(texts, shingle), "shingles").dropDuplicates(["fp"])
+    both = open_.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    kept = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
+    return edges.filter(F.col("far") <= SURE).select("a", "b").unionByName(kept.select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 12, similarity: float | None = 0.8) -> DataFrame:
+    """(doc_id, t, fp, component_id, kept): a row per document; component_id is the smallest doc_id that links reach.
+
+    docs: doc_id and text; other columns are not looked at. t: a hash of the text. Fingerprints at ``distance`` bits or
+    fewer are linked; with ``similarity``, links are then checked on the texts' shingle sets. Equal fingerprints are
+    one node of the graph, so copies cost a count. Texts that are null, empty or without words have fingerprint 0 and
+    are linked like any other. kept: true for a group's first row by doc_id (null last), then text; rows equal in both
+    are first together. A null doc_id is never the smallest; a group with no other has a null component_id. Rows
+    repeat as given. An empty table gives an empty result.
     """
     rows = staged(fingerprints(docs, shingle=shingle), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    nodes = staged(rows.groupBy("fp").agg(F.min(place).alias("first")), "nodes")
     if nodes.isEmpty():
-        return rows.withColumn("component_id", F.lit(None).cast("bigint"))
-    label = components(links(nodes, plan(nodes, distance), distance))
-    named = staged(nodes.join(label, nodes.fp == label.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "labels")
-    low = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+        return rows.withColumns({"component_id": F.lit(None).cast("bigint"), "kept": F.lit(True)})
+    found = links(nodes, plan(nodes, distance), distance)
+    if similarity is not None:
+        found = similar_links(found, nodes, docs, shingle=shingle, similarity=similarity)
+    label = components(found)
+    named = staged(nodes.join(label, nodes.fp == label.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "labels")
+    first = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = named.drop("first").join(first, "component").select("fp", "first")
+    return rows.join(named, "fp").select("doc_id", "t", "fp", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, all columns as they are."""
+    kept = near_duplicates(docs, **options).filter("kept").select("doc_id", "t").distinct()
+    key = lambda t: (F.xxhash64(F.lit(1), F.col("doc_id").cast("bigint"), t).alias("k"), F.hash(F.lit(1), F.col("doc_id").cast("bigint"), t).alias("g"))
+    kept = staged(kept.select(*key(F.col("t"))), "kept")
+    keyed = wrapped(docs, "doc_id", "text").select("row", *key(F.coalesce(F.xxhash64("text"), F.lit(0))))
+    first = F.row_number().over(Window.partitionBy("k", "g").orderBy(F.lit(1)))  # of rows equal in id and text
+    out = keyed.join(kept.hint("merge"), ["k", "g"], "left_semi").withColumn("n", first).filter("n = 1")
+    return out.select(*unwrapped(out))

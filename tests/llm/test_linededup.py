@@ -22,9 +22,9 @@ def test_overlaps_nulls_ties_and_empty(spark):
         (None, "m\nn\no"),
         (10, "m\nn\no"),
     ]
-    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, n_lines string, w int").repartition(3)
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, n_lines string, at int").repartition(3)
     out = linededup.dedup_lines(df)
-    assert out.columns == ["doc_id", "text", "w", "n_lines", "n_removed"]
+    assert out.columns == ["doc_id", "text", "at", "n_lines", "n_removed"]
     got = sorted([(r["doc_id"], r["text"], r["n_removed"]) for r in out.collect()], key=str)
     want = [(1, rows[0][1], 0), (2, "x", 4), (3, "b\nc", 0), (4, "p\nq\nr", 4), (5, None, 0), (6, "", 0), (7, "\n\n\n\n", 0), (8, "\n\n\n\n", 0), (9, "", 3), (9, "", 3), (None, "", 3), (10, "m\nn\no", 0)]
     assert got == sorted(want, key=str)

@@ -49,7 +49,7 @@ def test_query_against_brute_force(spark):
 def test_nulls_bounds_and_a_hot_source(spark):
     rows = [(i, "x " * (i % 7 + 1), "big") for i in range(3000)] + [(9000 + i, "w w w", s) for i, s in enumerate(["a", None, "é", "Z", "a"])]
     rows += [(9100, None, "a"), (9101, "", None), (9102, " ", "Z"), (None, "n n", "big")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit("clash"), "_rank": F.lit("mine")})
     out = mixing.mix(df).withColumn("taken", F.col("copies") * F.col("size")).collect()
     assert len(out) == len(rows)
     check([r for r in out if r["doc_id"] is not None], [(i, s, t) for i, t, s in rows], 0.6)
