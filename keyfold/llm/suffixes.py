@@ -11,7 +11,8 @@ equal anchors at equal places, and each string belongs to exactly one anchor.
    is read anchor by anchor; its anchors' suffixes are sorted, and suffix tuples with their common prefixes are carried
    backwards one byte at a time: sorted by that byte and by the order so far, which is the queue's next content. Two
    strings are equal where neighbours share ``length`` bytes.
-3. An anchor with more contexts than a shard should hold is split by its strings: these are hashed and counted.
+3. An anchor with more contexts than a shard should hold is split by its strings: digests of what CELL neighbouring
+   strings have in common, and of all they hold, are counted, and single strings only where these leave it open.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.shared import columns, splitmix, staged, utf8
 
-#: Bytes in an anchor; string starts looked at together; contexts sorted together; contexts of one anchor in a shard.
-ANCHOR, STARTS, SHARD, HOT = 32, 1 << 20, 16_384, 512
+#: Bytes in an anchor; string starts looked at together (they fit a cache); contexts sorted together; contexts of one
+#: anchor in a shard; strings of such an anchor that are counted together.
+ANCHOR, STARTS, SHARD, HOT = 32, 1 << 16, 16_384, 512
+CELL = 16
 #: Bits of the broadcast filter on anchors, at most: 16 MB. Its false hits cost time and change nothing.
 FILTER_BITS = 1 << 27
 _PLACE = (1 << 24) - 1
@@ -57,7 +60,7 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(_PLACE)).astype(np.int64)
 
 
-def runs_of(text: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def runs_of(text: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndarray]:
     """(document, first start, last start, anchor's place, anchor): strings of ``length`` bytes by document and anchor.
 
     ``offsets`` bounds the documents inside ``text``; places count from their beginning of ``text``.
@@ -67,7 +70,7 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
     np.add.at(inside, offsets[:-1][long], 1)
     np.add.at(inside, offsets[1:][long] - length + 1, -1)
     inside = np.cumsum(inside[:-1]) > 0
-    width = length - ANCHOR + 1
+    width, found = length - ANCHOR + 1, [[np.empty(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.uint64)]
     for c in range(0, max(0, len(text) - length + 1), STARTS):
         here = inside[c : min(c + STARTS, len(text) - length + 1)]
         if not here.any():
@@ -81,7 +84,9 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         lo = starts[new]
         hi = starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]
         p = place[lo]
-        yield np.searchsorted(offsets, lo + c, side="right") - 1, lo + c, hi + c, p + c, h[p]
+        for column, more in zip(found, (np.searchsorted(offsets, lo + c, side="right") - 1, lo + c, hi + c, p + c, h[p]), strict=True):
+            column.append(more)
+    return [np.concatenate(column) for column in found]
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -111,25 +116,25 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
             text, offsets = _texts(batch)
             k, g = (c.to_numpy() for c in columns(batch, "k", "g"))
             raw = memoryview(text)
-            for doc, lo, hi, place, h in runs_of(text, offsets, length):
-                marks = [_digest(raw, a, b + length, p - a) for a, b, p in zip(lo.tolist(), hi.tolist(), place.tolist(), strict=True)]
-                xy = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
-                order = np.lexsort((lo, xy[:, 1], xy[:, 0], doc))
-                same = np.zeros(len(order), bool)
-                same[1:] = (doc[order][1:] == doc[order][:-1]) & (xy[order][1:] == xy[order][:-1]).all(axis=1)
-                head = np.flatnonzero(~same)
-                n = np.diff(np.append(head, len(order)))
-                at = order[head]
-                base = offsets[doc]
-                yield _rows(names, k[doc[at]], g[doc[at]], (lo - base)[at], (hi - base)[at], (place - base)[at], h[at].view(np.int64), xy[at, 0], xy[at, 1], n)
-                twice = np.sort(order[np.repeat(n > 1, n)])
-                if len(twice):
-                    end, begin = (hi - base)[twice], (lo - base)[twice]
-                    new = np.ones(len(twice), bool)
-                    new[1:] = (doc[twice][1:] != doc[twice][:-1]) | (begin[1:] > end[:-1] + length)
-                    last = np.append(np.flatnonzero(new)[1:], len(twice)) - 1
-                    none = np.zeros(new.sum(), np.int64)
-                    yield _rows(names, k[doc[twice]][new], g[doc[twice]][new], begin[new], end[last], none, none, none, none, none)
+            doc, lo, hi, place, h = runs_of(text, offsets, length)
+            marks = [_digest(raw, a, b + length, p - a) for a, b, p in zip(lo.tolist(), hi.tolist(), place.tolist(), strict=True)]
+            xy = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+            order = np.lexsort((lo, xy[:, 1], xy[:, 0], doc))
+            same = np.zeros(len(order), bool)
+            same[1:] = (doc[order][1:] == doc[order][:-1]) & (xy[order][1:] == xy[order][:-1]).all(axis=1)
+            head = np.flatnonzero(~same)
+            n = np.diff(np.append(head, len(order)))
+            at = order[head]
+            base = offsets[doc]
+            yield _rows(names, k[doc[at]], g[doc[at]], (lo - base)[at], (hi - base)[at], (place - base)[at], h[at].view(np.int64), xy[at, 0], xy[at, 1], n)
+            twice = np.sort(order[np.repeat(n > 1, n)])
+            if len(twice):
+                end, begin = (hi - base)[twice], (lo - base)[twice]
+                new = np.ones(len(twice), bool)
+                new[1:] = (doc[twice][1:] != doc[twice][:-1]) | (begin[1:] > end[:-1] + length)
+                last = np.append(np.flatnonzero(new)[1:], len(twice)) - 1
+                none = np.zeros(new.sum(), np.int64)
+                yield _rows(names, k[doc[twice]][new], g[doc[twice]][new], begin[new], end[last], none, none, none, none, none)
 
     return docs.select("k", "g", "text").mapInArrow(run, "k long, g int, lo long, hi long, p long, h long, x long, y long, n long")
 
@@ -156,43 +161,35 @@ def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
 
 
-def contexts(docs: DataFrame, length: int, wanted: np.ndarray, unwanted: np.ndarray | None, *, strings: bool) -> DataFrame:
-    """Contexts of anchors in ``wanted`` and not in ``unwanted``, once per task and batch: (h, x, y, place, context).
-
-    With ``strings``, each string instead: (h, x, y, place: how far before the anchor it starts, context: its digest).
-    """
+def contexts(docs: DataFrame, length: int, wanted: np.ndarray, unwanted: np.ndarray | None = None) -> DataFrame:
+    """Contexts of anchors in ``wanted`` and not in ``unwanted``, once per batch: (h, x, y, place of the anchor, context)."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, unwanted))
-    names = ["h", "x", "y", "place", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, unwanted = shared.value
         for batch in batches:
             text, offsets = _texts(batch)
             raw = memoryview(text)
-            for _, lo, hi, place, h in runs_of(text, offsets, length):
-                use = _in_filter(wanted, h)
-                if unwanted is not None:
-                    use &= ~_in_filter(unwanted, h)
-                seen: dict[bytes, tuple[int, int, int, int]] = {}
-                for a, b, p, anchor in zip(lo[use].tolist(), hi[use].tolist(), place[use].tolist(), h[use].view(np.int64).tolist(), strict=True):
-                    seen.setdefault(_digest(raw, a, b + length, p - a), (a, b, p, anchor))
-                if not seen:
-                    continue
-                xy = np.frombuffer(b"".join(seen), np.int64).reshape(-1, 2)
-                found = list(seen.values())
-                anchor = np.array([f[3] for f in found])
-                if not strings:
-                    body = pa.array([bytes(raw[a : b + length]) for a, b, _, _ in found], pa.binary())
-                    yield pa.record_batch([pa.array(anchor), *(pa.array(c.copy()) for c in xy.T), pa.array([p - a for a, _, p, _ in found]), body], names=names)
-                else:
-                    sizes = np.array([b - a + 1 for a, b, _, _ in found])
-                    body = pa.array([xxhash.xxh3_128_digest(raw[s : s + length]) for a, b, _, _ in found for s in range(a, b + 1)], pa.binary())
-                    before = np.concatenate([np.arange(p - a, p - b - 1, -1) for a, b, p, _ in found])
-                    yield pa.record_batch([*(pa.array(np.repeat(c, sizes)) for c in (anchor, *xy.T)), pa.array(before), body], names=names)
+            _, lo, hi, place, h = runs_of(text, offsets, length)
+            use = _in_filter(wanted, h)
+            if unwanted is not None:
+                use &= ~_in_filter(unwanted, h)
+            seen: dict[bytes, tuple[int, int, int, int]] = {}
+            for a, b, p, anchor in zip(lo[use].tolist(), hi[use].tolist(), place[use].tolist(), h[use].view(np.int64).tolist(), strict=True):
+                seen.setdefault(_digest(raw, a, b + length, p - a), (a, b, p, anchor))
+            keys = list(seen)
+            for k in range(0, len(keys), 4096):
+                found = [seen[x] for x in keys[k : k + 4096]]
+                x, y = np.frombuffer(b"".join(keys[k : k + 4096]), np.int64).reshape(-1, 2).T.copy()
+                body = pa.array([bytes(raw[a : b + length]) for a, b, _, _ in found], pa.binary())
+                yield pa.record_batch([pa.array([f[3] for f in found]), pa.array(x), pa.array(y), pa.array([p - a for a, _, p, _ in found]), body], names=_CONTEXT)
 
     return docs.select("text").mapInArrow(run, "h long, x long, y long, place long, context binary")
 
 
+_CONTEXT = ["h", "x", "y", "place", "context"]
+
+
 def induced(place: list[int], context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(item, d): strings that start d bytes before an item's anchor and that another item has too.
 
@@ -283,12 +280,69 @@ def _sorted_shards(found: DataFrame, length: int) -> DataFrame:
     return found.repartition("h").sortWithinPartitions("h", "x", "y").mapInArrow(run, "h long, x long, y long, near long, far long")
 
 
-def _counted_strings(found: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts, by counting digests of strings."""
-    found = staged(found.distinct(), "strings")
+def _cells(found: DataFrame, length: int) -> DataFrame:
+    """(h, x, y, cell, common, whole): digests of what the strings of a cell have in common, and of all they hold.
+
+    Cell c has the strings that start c * CELL to c * CELL + CELL - 1 bytes before the anchor. ``whole`` is null where
+    the context has not all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, x, y, place, body in zip(*(c.to_pylist() for c in columns(batch, *_CONTEXT)), strict=True):
+                least = place - (len(body) - length)
+                for cell in range(least // CELL, place // CELL + 1):
+                    near, far = cell * CELL, cell * CELL + CELL - 1
+                    common = xxhash.xxh3_128_digest(body[place - near : place - far + length], seed=cell)
+                    whole = xxhash.xxh3_128_digest(body[place - far : place - near + length], seed=cell) if near >= least and far <= place else None
+                    out.append((h, x, y, cell, common, whole))
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "x", "y", "cell", "common", "whole"])
+
+    return found.mapInArrow(run, "h long, x long, y long, cell long, common binary, whole binary")
+
+
+def _strings(found: DataFrame, length: int) -> DataFrame:
+    """(h, x, y, d, digest): the strings of the cells named in ``cells``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, x, y, place, body, cells in zip(*(c.to_pylist() for c in columns(batch, *_CONTEXT, "cells")), strict=True):
+                least = place - (len(body) - length)
+                for cell in cells:
+                    for d in range(max(least, cell * CELL), min(place, cell * CELL + CELL - 1) + 1):
+                        out.append((h, x, y, d, xxhash.xxh3_128_digest(body[place - d : place - d + length])))
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "x", "y", "d", "digest"])
+
+    return found.mapInArrow(run, "h long, x long, y long, d long, digest binary")
+
+
+def _of_several(rows: DataFrame, digest: str) -> DataFrame:
+    """(digest, first): digests that more than one context has, with the first context."""
     owner = F.struct("h", "x", "y")
-    twice = found.groupBy("context").agg(F.min(owner).alias("a"), F.max(owner).alias("b")).filter("a <> b").select("context")
-    return found.join(twice, "context").select("h", "x", "y", F.col("place").alias("near"), F.col("place").alias("far"))
+    both = rows.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(owner).alias("first"), F.max(owner).alias("last"))
+    return both.filter("first <> last").select(digest, "first")
+
+
+def _counted_strings(found: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with very many contexts, by counting digests.
+
+    A string that two contexts have lies in cells whose common part both have. A cell that another context has as a
+    whole is settled; of such equal cells the first still stands for its strings.
+    """
+    found = staged(found.dropDuplicates(["h", "x", "y"]), "hot")
+    cells = staged(_cells(found, length), "cells")
+    whole = cells.join(staged(_of_several(cells, "whole"), "whole"), "whole").withColumn("stands", F.struct("h", "x", "y") == F.col("first"))
+    settled = staged(whole.select("h", "x", "y", "cell", "stands"), "settled")
+    maybe = cells.join(staged(_of_several(cells, "common").select("common"), "common"), "common").select("h", "x", "y", "cell")
+    open_ = maybe.join(settled.filter("not stands"), ["h", "x", "y", "cell"], "left_anti").groupBy("h", "x", "y").agg(F.collect_list("cell").alias("cells"))
+    strings = staged(_strings(found.join(open_, ["h", "x", "y"]), length), "strings")
+    single = strings.join(staged(_of_several(strings, "digest").select("digest"), "digests"), "digest")
+    runs = settled.select("h", "x", "y", (F.col("cell") * CELL).alias("near"), (F.col("cell") * CELL + CELL - 1).alias("far"))
+    return runs.unionByName(single.select("h", "x", "y", F.col("d").alias("near"), F.col("d").alias("far")))
 
 
 def repeated_parts(docs: DataFrame, length: int) -> DataFrame:
@@ -303,9 +357,9 @@ def repeated_parts(docs: DataFrame, length: int) -> DataFrame:
     wanted = anchor_filter(several)
     if wanted is not None:
         hot = anchor_filter(several.filter(F.col("contexts") > HOT))
-        some = _sorted_shards(contexts(docs, length, wanted, hot, strings=False), length)
+        some = _sorted_shards(contexts(docs, length, wanted, hot), length)
         if hot is not None:
-            some = some.unionByName(_counted_strings(contexts(docs, length, hot, None, strings=True)))
+            some = some.unionByName(_counted_strings(contexts(docs, length, hot), length))
         some = staged(some, "repeated")
         parts.append(keyed.join(some.hint("merge"), ["h", "x", "y"]).select("k", "g", (F.col("p") - F.col("far")).alias("lo"), (F.col("p") - F.col("near") + length).alias("hi")))
     out = parts[0]
