@@ -27,8 +27,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/keyfold-{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/keyfold-{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def staged_folders() -> list[str]:
+    """What this process has staged and not dropped."""
+    return list(_made)
+
+
+def drop_staged(spark: SparkSession, folders: list[str]) -> None:
+    """Delete staged folders; only when no result still reads from there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _made.remove(folder)
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:

@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.shared import columns, splitmix, staged, utf8
 
-#: Bytes in an anchor; string starts looked at together (they fit a cache); contexts sorted together; contexts of one
-#: anchor in a shard; strings of such an anchor that are counted together.
-ANCHOR, STARTS, SHARD, HOT = 32, 1 << 16, 16_384, 512
+#: Bytes in an anchor; string starts looked at together (they fit a cache); contexts sorted together; contexts that one
+#: anchor may bring to a shard (twice the fair share of a shuffle partition, but inside these bounds); strings of an
+#: anchor with more that are counted together.
+ANCHOR, STARTS, SHARD, HOT = 32, 1 << 16, 16_384, (512, 32_768)
 CELL = 16
 #: Bits of the broadcast filter on anchors, at most: 16 MB. Its false hits cost time and change nothing.
 FILTER_BITS = 1 << 27
@@ -345,6 +346,11 @@ def _counted_strings(found: DataFrame, length: int) -> DataFrame:
     return runs.unionByName(single.select("h", "x", "y", F.col("d").alias("near"), F.col("d").alias("far")))
 
 
+def _most_in_a_shard(several: DataFrame) -> int:
+    total = several.agg(F.sum("contexts")).first()[0] or 0
+    return min(HOT[1], max(HOT[0], 2 * total // int(several.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def repeated_parts(docs: DataFrame, length: int) -> DataFrame:
     """(k, g, lo, hi): per document key, bytes lo to hi that repeated strings cover; parts overlap, in no order."""
     found = staged(occurrences(docs, length), "anchors")
@@ -356,7 +362,7 @@ def repeated_parts(docs: DataFrame, length: int) -> DataFrame:
     parts.append(keyed.join(whole.hint("merge"), ["h", "x", "y"]).select("k", "g", "lo", (F.col("hi") + length).alias("hi")))
     wanted = anchor_filter(several)
     if wanted is not None:
-        hot = anchor_filter(several.filter(F.col("contexts") > HOT))
+        hot = anchor_filter(several.filter(F.col("contexts") > _most_in_a_shard(several)))
         some = _sorted_shards(contexts(docs, length, wanted, hot), length)
         if hot is not None:
             some = some.unionByName(_counted_strings(contexts(docs, length, hot), length))

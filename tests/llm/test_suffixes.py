@@ -54,7 +54,7 @@ def tangled(rng, n):
     return out
 
 
-@pytest.mark.parametrize(("length", "shard", "hot", "starts"), [(40, 8, 1 << 30, 1 << 20), (64, 1 << 14, 1, 333), (32, 50, 20, 1 << 20)])
+@pytest.mark.parametrize(("length", "shard", "hot", "starts"), [(40, 8, (1 << 30, 1 << 30), 1 << 20), (64, 1 << 14, (1, 1), 333), (32, 50, (20, 20), 1 << 20)])
 def test_tangled_texts(spark, monkeypatch, length, shard, hot, starts):
     for name, value in (("SHARD", shard), ("HOT", hot), ("STARTS", starts)):
         monkeypatch.setattr(suffixes, name, value)
