@@ -19,20 +19,25 @@ from keyfold.llm.shared import splitmix, utf8
 
 #: Labelled rows that the list is learned from, at most: those with the smallest hash of their id.
 SAMPLE = 20_000
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_stops", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_stops", "n_block_distinct")
 BASE = COUNTS[:5]
 WINDOW = 8
+#: Distinct words are counted block by block: over a whole text their share falls with its length.
+BLOCK = 100
 
 _SYMBOLS = list(b"#*$%&|<>")
 _UPPER, _DIGITS, _MARKS, _STOPS, _BLANK = range(65, 91), range(48, 58), list(b"!?"), list(b".,;:"), [*range(9, 14), 32]
 
 
 def repeated_words(words: list[bytes]) -> tuple[int, int]:
-    """Words inside 8-word windows that occur twice or more, the first occurrence included; and distinct words."""
+    """Words inside 8-word windows that occur twice or more, the first occurrence included; and words distinct in their block."""
     ids: dict[bytes, int] = {}
     x = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, len(words))
-    if len(x) <= WINDOW or len(ids) == len(x):
-        return 0, len(ids)
+    if len(ids) == len(x):
+        return 0, len(x)
+    distinct = len(np.unique(np.arange(len(x)) // BLOCK * len(ids) + x.astype(np.int64)))
+    if len(x) <= WINDOW:
+        return 0, distinct
     h, factor = splitmix(x + np.uint64(1)), 0x9E3779B97F4A7C15
     for step in (1, 2, 4):  # windows of 2, 4 and 8 words
         h = h[:-step] + h[step:] * np.uint64(factor)
@@ -44,7 +49,7 @@ def repeated_words(words: list[bytes]) -> tuple[int, int]:
     edges = np.zeros(len(x) + 1, np.int64)
     np.add.at(edges, np.flatnonzero(twice), 1)
     np.add.at(edges, np.flatnonzero(twice) + WINDOW, -1)
-    return int((np.cumsum(edges[:-1]) > 0).sum()), len(ids)
+    return int((np.cumsum(edges[:-1]) > 0).sum()), distinct
 
 
 def count(text: bytes) -> tuple[int, ...]:
@@ -87,7 +92,7 @@ RATIOS = {
     "upper_share": ("n_upper", "word_chars"),
     "repeat_share": ("n_repeat_words", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
-    "distinct_share": ("n_distinct", "n_words"),
+    "distinct_share": ("n_block_distinct", "n_words"),
     "words_per_line": ("n_words", "n_lines"),
 }
 
