@@ -221,7 +221,8 @@ def settled(entities: DataFrame, key: str) -> DataFrame:
     so this ends. Given names turn inside their own lists and need no check.
     """
     given = F.col("kind").startswith("given")
-    entities = staged(entities, "entities")
+    # entities are few bytes and much work each: more partitions than their size alone would give
+    entities = staged(entities.repartition(2 * entities.sparkSession.sparkContext.defaultParallelism), "entities")
     own = entities.select("kind", F.col("norm").alias("new"))
     drawn = lambda rows, attempt: rows.select("kind", "norm", surrogate(key, F.col("kind"), F.col("norm"), F.lit(attempt)).alias("new"))
     done, pending, attempt = drawn(entities.filter(given), 0), entities.filter(~given), 0
