@@ -28,7 +28,7 @@ def op1_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
-    out = simhash.near_duplicates(_table(spark, d, "documents"), shingle=4, distance=4, similarity=None)
+    out = simhash.near_duplicates(_table(spark, d, "documents"), shingle=4, distance=4, prints=1, similarity=None)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -25,43 +25,48 @@ BITS = 64
 #: Shingles counted at a time, so that a very long text needs no more memory than a short one.
 CHUNK = 1 << 15
 #: Rows of a bucket that meet in one task; a larger bucket is cut into blocks, and each pair of blocks is a task's work.
-BLOCK = 512
+BLOCK = 2048
 #: Buckets of up to so many rows are compared side by side.
 SMALL = 8
-#: Time to make and move one probe row over the time to compare two fingerprints.
-ROW_COST = 300.0
+#: Time to make and move one probe row over the time to compare two fingerprints and to bring them to each other.
+ROW_COST = 64.0
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Bit b is 1 if it is set in over half the XXH64 values of the shingles; 0 for a text without words."""
+def fingerprint(text: bytes, shingle: int, prints: int = 1) -> np.ndarray:
+    """Bit b is 1 if it is set in over half the XXH64 values of the shingles; 0 for a text without words.
+
+    Further prints are of the same values, spread anew: near texts that one print parts, another may not.
+    """
     words = text.lower().split()  # of bytes: A-Z only, and the six white-space characters
     if not words:
-        return 0
+        return np.zeros(prints, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((prints, BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, n, CHUNK):
         h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : min(n, k + CHUNK)].tolist(), last[k : k + CHUNK].tolist(), strict=False)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        for r in range(prints):
+            x = splitmix(h + np.uint64(r)) if r else h
+            ones[r] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
-    """(doc_id, t, fp: bigint), t being a hash of the text. Null texts count as texts without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, *, shingle: int = 5, prints: int = 1) -> DataFrame:
+    """(doc_id, t, fp: bigint, fp1 ...), t being a hash of the text. Null texts count as texts without words."""
+    names = ["doc_id", "t", "fp", *(f"fp{r}" for r in range(1, prints))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, t, texts = columns(batch, "doc_id", "t", "text")
-            fps = np.fromiter((fingerprint(t, shingle) for t in utf8(texts)), np.uint64, len(texts))
-            yield pa.record_batch([ids, t, pa.array(fps.view(np.int64))], schema=schema)
+            fps = np.array([fingerprint(x, shingle, prints) for x in utf8(texts)], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.record_batch([ids, t, *(pa.array(c.copy()) for c in fps.T)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t"), "text")
-    return rows.mapInArrow(run, "doc_id long, t long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 @dataclass(frozen=True)
@@ -184,33 +189,46 @@ def probes(fps: DataFrame, parts: Parts) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
 
 
-def nearest_forest(far: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of least distances: at any threshold up to ``distance`` it connects what all pairs connect."""
-    left, found = (far <= distance).any(axis=1), []
-    best, by = np.full(len(far), 255, np.uint8), np.zeros(len(far), np.int64)
-    while left.any():
-        i = int(left.argmax())
-        while True:
-            left[i] = False
-            nearer = left & (far[i] < best)
-            best[nearer], by[nearer] = far[i][nearer], i
-            open_ = np.where(left, best, 255)
-            i = int(open_.argmin())
-            if open_[i] > distance:
-                break
-            found.append((int(by[i]), i))
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> list[int]:
+    """Pairs (by number) of a spanning forest of least distances: at any threshold it connects what all pairs connect."""
+    root, found = np.arange(n), []
+    for distance in np.unique(far):
+        at = np.flatnonzero((far == distance) & (root[a] != root[b]))
+        parent = {}
+
+        def top(i: int, parent: dict[int, int] = parent) -> int:
+            while i in parent:
+                if parent[i] in parent:
+                    parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for k, i, j in zip(at.tolist(), root[a[at]].tolist(), root[b[at]].tolist(), strict=True):
+            i, j = top(i), top(j)
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                found.append(k)
+        if parent:
+            moved = np.array(list(parent))
+            to = np.arange(n)
+            to[moved] = [top(i) for i in parent]
+            root = to[root]
     return found
 
 
-def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links in one bucket as a forest: fewer than its members."""
-    far = np.bitwise_count(fp[:, None] ^ fp[None, :])
-    meet = ~(probe[:, None] & probe[None, :])
-    if side[0] != 2:
-        meet &= side[:, None] != side[None, :]
-    np.fill_diagonal(meet, False)
-    far[~meet] = 255
-    return nearest_forest(far, distance)
+def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links in one bucket as a forest: fewer than its members. Own values meet all, some rows of the matrix at a time."""
+    own, pairs = np.flatnonzero(~probe), []
+    for k in range(0, len(own), 256):
+        rows = own[k : k + 256]
+        far = np.bitwise_count(fp[rows][:, None] ^ fp[None, :])
+        i, b = np.nonzero(far <= distance)
+        a = rows[i]
+        use = (probe[b] | (a < b)) & ((side[0] == 2) | (side[a] != side[b]))
+        pairs.append((a[use], b[use], far[i[use], b[use]]))
+    a, b, far = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    chosen = nearest_forest(len(fp), a, b, far)
+    return fp[a[chosen]], fp[b[chosen]]
 
 
 def links(fps: DataFrame, parts: Parts, distance: int) -> DataFrame:
@@ -240,9 +258,9 @@ def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int
     for g in np.flatnonzero(sizes > SMALL):
         s = slice(starts[g], starts[g] + sizes[g])
         if not probe[s].all():
-            for a, b in _bucket_links(fp[s], probe[s], side[s], distance):
-                left.append(fp[s][a : a + 1])
-                right.append(fp[s][b : b + 1])
+            a, b = _bucket_links(fp[s], probe[s], side[s], distance)
+            left.append(a)
+            right.append(b)
     both = [np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64) for x in (left, right)]
     return pa.record_batch([pa.array(x) for x in both], names=["a", "b"])
 
@@ -252,7 +270,7 @@ SURE = 4
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(fp, s): the set of 32-bit hashes of a text's shingles."""
+    """(node, s): the set of 32-bit hashes of a text's shingles."""
 
     def shingles(text: bytes) -> np.ndarray:
         words = text.lower().split()
@@ -261,51 +279,72 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, texts = columns(batch, "fp", "text")
-            yield pa.record_batch([fps, pa.array([shingles(t) for t in utf8(texts)], pa.list_(pa.int32()))], names=["fp", "s"])
+            nodes, texts = columns(batch, "node", "text")
+            yield pa.record_batch([nodes, pa.array([shingles(t) for t in utf8(texts)], pa.list_(pa.int32()))], names=["node", "s"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, s array<int>")
+
 
-    return docs.select("fp", "text").mapInArrow(run, "fp long, s array<int>")
+def node_links(nodes: DataFrame, fp: str, distance: int) -> DataFrame:
+    """(a, b, far): nodes whose fingerprints in column ``fp`` are near, connected as in ``links``; equal ones meet at one."""
+    own = nodes.groupBy(fp).agg(F.min("node").alias("low"))
+    own = staged(own.withColumnRenamed(fp, "fp"), "prints")
+    found = links(own, plan(own, distance), distance).withColumn("far", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    for end in ("a", "b"):
+        found = found.join(own.select(F.col("fp").alias(end), F.col("low").alias(f"low_{end}")), end)
+    found = found.select(F.col("low_a").alias("a"), F.col("low_b").alias("b"), "far")
+    equal = nodes.select(F.col(fp).alias("fp"), "node").join(own, "fp").filter("node <> low")
+    return found.unionByName(equal.select(F.col("low").alias("a"), F.col("node").alias("b"), F.lit(0).alias("far")))
 
 
 def similar_links(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
     """Links whose texts' shingle sets have ``similarity`` of their union in common, and those of SURE bits.
 
-    Each fingerprint is stood for by its first document.
+    Each node is stood for by its first document.
     """
-    edges = staged(edges.withColumn("far", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))), "links")
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = staged(edges.select(*ends, "far").groupBy("a", "b").agg(F.min("far").alias("far")), "links")
     open_ = edges.filter(F.col("far") > SURE)
-    needed = open_.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.t").alias("_t"))
+    needed = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    needed = needed.select("node", F.col("first.doc_id").alias("_id"), F.col("first.t").alias("_t"))
     texts = docs.select("doc_id", "text").join(staged(needed, "needed").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t")))
-    sets = staged(_shingle_sets(texts, shingle), "shingles").dropDuplicates(["fp"])
-    both = open_.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    sets = staged(_shingle_sets(texts.select("node", "text"), shingle), "shingles").dropDuplicates(["node"])
+    both = open_.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     kept = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
     return edges.filter(F.col("far") <= SURE).select("a", "b").unionByName(kept.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 12, similarity: float | None = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, prints: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """(doc_id, t, fp, component_id, kept): a row per document; component_id is the smallest doc_id that links reach.
 
-    docs: doc_id and text; other columns are not looked at. t: a hash of the text. Fingerprints at ``distance`` bits or
-    fewer are linked; with ``similarity``, links are then checked on the texts' shingle sets. Equal fingerprints are
-    one node of the graph, so copies cost a count. Texts that are null, empty or without words have fingerprint 0 and
-    are linked like any other. kept: true for a group's first row by doc_id (null last), then text; rows equal in both
-    are first together. A null doc_id is never the smallest; a group with no other has a null component_id. Rows
-    repeat as given. An empty table gives an empty result.
+    docs: doc_id and text; other columns are not looked at. t: a hash of the text. Texts are linked if any of their
+    ``prints`` fingerprints are at ``distance`` bits or fewer; with ``similarity``, links are then checked on the
+    texts' shingle sets. Texts with equal fingerprints are one node of the graph, so copies cost a count. Texts that
+    are null, empty or without words have fingerprint 0 and are linked like any other. kept: true for a group's first
+    row by doc_id (null last), then text; rows equal in both are first together. A null doc_id is never the smallest; a
+    group with no other has a null component_id. Rows repeat as given. An empty table gives an empty result.
     """
-    rows = staged(fingerprints(docs, shingle=shingle), "fingerprints")
+    rows = staged(fingerprints(docs, shingle=shingle, prints=prints), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
-    nodes = staged(rows.groupBy("fp").agg(F.min(place).alias("first")), "nodes")
+    fps = ["fp", *(f"fp{r}" for r in range(1, prints))]
+    nodes = rows.groupBy(*fps).agg(F.min(place).alias("first"))
+    nodes = staged(nodes.withColumn("node", F.col("fp") if prints == 1 else F.monotonically_increasing_id()), "nodes")
     if nodes.isEmpty():
-        return rows.withColumns({"component_id": F.lit(None).cast("bigint"), "kept": F.lit(True)})
-    found = links(nodes, plan(nodes, distance), distance)
+        return rows.select("doc_id", "t", "fp", F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
+    if prints == 1:
+        found = links(nodes, plan(nodes, distance), distance).withColumn("far", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    else:
+        found = node_links(nodes, fps[0], distance)
+        for fp in fps[1:]:
+            found = found.unionByName(node_links(nodes, fp, distance))
     if similarity is not None:
         found = similar_links(found, nodes, docs, shingle=shingle, similarity=similarity)
-    label = components(found)
-    named = staged(nodes.join(label, nodes.fp == label.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "labels")
+    label = components(found.select("a", "b")).withColumnRenamed("node", "of")
+    named = staged(nodes.join(label, F.col("node") == F.col("of"), "left").select(*fps, "first", F.coalesce("component", "node").alias("component")), "labels")
     first = named.groupBy("component").agg(F.min("first").alias("first"))
-    named = named.drop("first").join(first, "component").select("fp", "first")
-    return rows.join(named, "fp").select("doc_id", "t", "fp", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("kept"))
+    named = named.drop("first").join(first, "component").select(*fps, "first")
+    return rows.join(named, fps).select("doc_id", "t", "fp", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
