@@ -160,3 +160,15 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: Tables
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id"))
     )
+
+
+#: All pairs of equal label, at cosine 0.98; for tables on which hashing misses none.
+SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings where label is not null and embedding is not null),
+u as (select vec_id, label, e, sqrt(list_dot_product(e, e)) n from v where list_dot_product(e, e) > 0),
+l as (select a.vec_id x, b.vec_id y from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach as (select vec_id x, vec_id y from embeddings union select reach.x, l.y from reach join l on reach.y = l.x),
+c as (select x, min(y) component_id from reach group by x)
+select vec_id, cast((select count(*) from l where l.x = vec_id) as bigint) n_links, component_id, vec_id = component_id kept
+from embeddings join c on vec_id = c.x
+"""

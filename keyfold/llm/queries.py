@@ -79,7 +79,12 @@ _QUERIES: dict[str, Query] = {
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
 }
-_SQL: dict[str, str] = {"op7_warc": warc.SQL, "op8_line_dedup": linededup.SQL}
+_SQL: dict[str, str] = {
+    "op6_suffix_dedup": suffixes.SQL,
+    "op7_warc": warc.SQL,
+    "op8_line_dedup": linededup.SQL,
+    "op9_embeddings": embeddings.SQL,
+}
 
 
 def queries() -> dict[str, Query]:

@@ -423,3 +423,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
             yield pa.record_batch([doc_ids, pa.array(n), pa.array(gone), pa.array(spans, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+
+
+#: The same for strings of 400 bytes; spans as their number, kept as its digest.
+SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) b, octet_length(encode(coalesce(text, ''))) n from documents),
+w as (select doc_id, i, md5(array_slice(b, i, i + 399)) h from (select doc_id, b, unnest(generate_series(1, n - 399)) i from d where n >= 400)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by h) c from w) where c > 1),
+o as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end new from r),
+g as (select doc_id, i, sum(new) over (partition by doc_id order by i) k from o),
+s as (select doc_id, k, min(i) a, max(i) + 399 z from g group by doc_id, k),
+f as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 a, a - 1 z from s
+ union all select s.doc_id, max(z) + 1, any_value(n) from s join d on s.doc_id = d.doc_id group by s.doc_id),
+kept as (select f.doc_id, string_agg(hex(array_slice(b, f.a, f.z)), '' order by f.a) x from f join d on f.doc_id = d.doc_id where f.z >= f.a group by f.doc_id),
+cut as (select doc_id, count(*) spans, sum(z - a + 1) bytes from s group by doc_id)
+select d.doc_id, cast(n as bigint) n_bytes, cast(coalesce(bytes, 0) as bigint) n_removed, cast(coalesce(spans, 0) as bigint) n_spans,
+ case when spans is null then sha256(b) else sha256(unhex(coalesce(x, ''))) end kept_sha256
+from d left join cut on d.doc_id = cut.doc_id left join kept on d.doc_id = kept.doc_id
+"""

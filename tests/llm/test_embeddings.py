@@ -1,5 +1,7 @@
+import duckdb
 import numpy as np
 
+from compare import assert_same, canonical
 from keyfold.llm import embeddings
 from keyfold.llm.queries import op9_embeddings
 from test_simhash import brute_components
@@ -32,6 +34,22 @@ def test_query_against_brute_force(spark):
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+def test_query_against_sql(spark, tmp_path):
+    assert_same(op9_embeddings(spark, SMALL), embeddings.SQL)
+    rng = np.random.default_rng(4)
+    hubs = rng.standard_normal((5, 16))
+    rows = [(i, (hubs[i % 5] + rng.standard_normal(16) * 0.08).tolist(), i % 3) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    (part,) = (tmp_path / "embeddings.parquet").glob("*.parquet")
+    part.rename(tmp_path / "flat")
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tables=embeddings.Tables(tables=40, projections=4))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path / 'flat'}')")
+    found = con.execute(embeddings.SQL)
+    names = [d[0] for d in found.description]
+    assert canonical(out.columns, [tuple(r) for r in out.collect()]) == canonical(names, found.fetchall())
+
+
 def test_dense_groups_copies_and_unusable_vectors(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 32)
     rng = np.random.default_rng(1)

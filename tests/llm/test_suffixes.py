@@ -1,10 +1,11 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
-from collections import Counter
 
+from compare import assert_same
 from keyfold.llm import suffixes
 from keyfold.llm.queries import op6_suffix_dedup
 
@@ -32,6 +33,10 @@ def test_query_against_brute_force(spark):
     assert got == want and sum(w[2] for w in want) > 0
 
 
+def test_query_against_sql(spark):
+    assert_same(op6_suffix_dedup(spark, SMALL), suffixes.SQL)
+
+
 def tangled(rng, n):
     """Texts that share passages with changes, repeat themselves, and hold runs of short periods."""
     word = lambda: "".join(rng.choice("abé\0") for _ in range(rng.randint(1, 9)))
