@@ -315,7 +315,7 @@ def similar_links(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingl
     return edges.filter(F.col("far") <= SURE).select("a", "b").unionByName(kept.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, prints: int = 2, similarity: float | None = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, prints: int = 3, similarity: float | None = 0.8) -> DataFrame:
     """(doc_id, t, fp, component_id, kept): a row per document; component_id is the smallest doc_id that links reach.
 
     docs: doc_id and text; other columns are not looked at. t: a hash of the text. Texts are linked if any of their

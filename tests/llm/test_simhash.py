@@ -114,7 +114,7 @@ def test_similarity_is_checked_on_texts(spark):
             texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r["doc_id"]: r for r in simhash.near_duplicates(df).collect()}
-    prints = {i: simhash.fingerprint(t.encode(), 5, 2) for i, t in enumerate(texts)}
+    prints = {i: simhash.fingerprint(t.encode(), 5, 3) for i, t in enumerate(texts)}
     far = lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).min())
     links = [(i, j) for i in prints for j in range(i) if far(i, j) <= simhash.SURE or far(i, j) <= 10 and jaccard(texts[i], texts[j]) >= 0.8]
     # a link that is not in the forest of least distances may be missed only where no chain of nearer links passes
