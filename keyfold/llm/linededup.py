@@ -55,14 +55,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     cut = staged(later_windows(docs), "cuts").withColumnRenamed("doc_id", "id")
     # a merge join at any size: cuts grow with the corpus, and the plan should not change on the way
-    both = wrapped(docs, "doc_id", "text").join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left")
+    keyed = wrapped(docs, "doc_id", F.xxhash64("text").alias("own"))
+    both = keyed.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("t")), "left")
+    old = F.col("row").getField("text")
     touched = F.col("at").isNotNull()
-    new = F.arrow_udf(_cut, "struct<text:string,n_removed:bigint>").asNondeterministic()(F.when(touched, F.col("text")), F.col("at"))
+    new = F.arrow_udf(_cut, "struct<text:string,n_removed:bigint>").asNondeterministic()(F.when(touched, old), F.col("at"))
     both = both.withColumn("new", new)
     names = docs.columns
-    text = F.when(touched, F.col("new.text")).otherwise(F.col("text")).alias("text")
+    text = F.when(touched, F.col("new.text")).otherwise(old).alias("text")
     kept = dict(zip(names, [F.col("row").getField(c).alias(c) for c in names], strict=True)) | {"text": text}
-    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint").alias("n_lines")
+    n_lines = F.coalesce(F.size(F.split(old, "\n", -1)), F.lit(0)).cast("bigint").alias("n_lines")
     return both.select(*(kept[c] for c in names if c not in ("n_lines", "n_removed")), n_lines, F.col("new.n_removed").alias("n_removed"))
 
 

@@ -258,12 +258,13 @@ def replace(docs: DataFrame, *, key: str) -> DataFrame:
     whole = staged(whole.select("mention", F.array_join(F.col("parts.out"), "").alias("out")), "rendered")
     per_doc = held.join(whole, "mention").groupBy("doc_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("mention", "out"))).alias("map"))
     per_doc = staged(per_doc, "replacements").withColumnRenamed("doc_id", "id")
-    both = wrapped(docs, "doc_id", "text").join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left")
-    touched = F.col("map").isNotNull()
-    found = F.when(touched, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    between = F.when(touched, F.split("text", ANY, -1))
+    keyed = wrapped(docs, "doc_id", F.xxhash64("text").alias("own"))
+    both = keyed.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("t")), "left")
+    touched, old = F.col("map").isNotNull(), F.col("row").getField("text")
+    found = F.when(touched, F.regexp_extract_all(old, F.lit(ANY), F.lit(0)))
+    between = F.when(touched, F.split(old, ANY, -1))
     both = both.withColumns({"found": found, "between": between})
     put = F.zip_with("between", F.concat("found", F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.coalesce(F.element_at("map", m), m)))
-    text = F.when(touched, F.array_join(put, "")).otherwise(F.col("text")).alias("text")
+    text = F.when(touched, F.array_join(put, "")).otherwise(old).alias("text")
     kept = {c: F.col("row").getField(c).alias(c) for c in docs.columns} | {"text": text}
     return both.select(*(kept[c] for c in docs.columns if c != "n_entities"), F.coalesce(F.size("found"), F.lit(0)).cast("bigint").alias("n_entities"))

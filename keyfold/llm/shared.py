@@ -66,8 +66,11 @@ def utf8(texts: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def wrapped(docs: DataFrame, *beside: str) -> DataFrame:
-    """All columns as one struct ``row``, and some beside it: what an operator adds then clashes with none of them."""
+def wrapped(docs: DataFrame, *beside: str | Column) -> DataFrame:
+    """All columns as one struct ``row``, and some beside it: what an operator adds then clashes with none of them.
+
+    What stands beside is moved a second time where rows are shuffled, so texts stay inside.
+    """
     return docs.select(F.struct("*").alias("row"), *beside)
 
 
