@@ -6,9 +6,11 @@ import json
 import os
 import time
 
-from pyspark.sql import SparkSession
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH")]))
 
-from keyfold import queries as catalogue
+from pyspark.sql import SparkSession  # noqa: E402
+
+from keyfold import queries as catalogue  # noqa: E402
 
 HEADLINE = (
     "sum_as_alias_by_attr", "avg_countstar_by_attr_and_dim", "var_by_string", "avg_by_string_and_double", "max_var_by_two_strings",
