@@ -47,5 +47,5 @@ def test_stages_one_by_one(spark, tmp_path):
 def test_registered_and_whole(spark):
     import __spark_entry__
 
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert corpus_pipeline.run(spark, SMALL).filter(F.col("n_tokens") > 0).count() > 100
