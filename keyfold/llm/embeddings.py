@@ -59,6 +59,10 @@ def _codes(x: np.ndarray, label: np.ndarray, t: Tables) -> np.ndarray:
     return (code >> np.uint64(32)).astype(np.uint32)
 
 
+def _pieces(at: np.ndarray, n: int = 1024) -> list[np.ndarray]:
+    return [at[k : k + n] for k in range(0, len(at), n)]
+
+
 def _hashed(nodes: DataFrame, t: Tables) -> DataFrame:
     """A row per vector and table: key, node, weight, label, the codes of all tables, and the vector."""
 
@@ -67,8 +71,8 @@ def _hashed(nodes: DataFrame, t: Tables) -> DataFrame:
             node, label, weight, vectors = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "label", "weight", "vector"))
             offsets = vectors.offsets.to_numpy()
             sizes, flat = np.diff(offsets), vectors.values.to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
+            for at in (part for dim in np.unique(sizes) for part in _pieces(np.flatnonzero(sizes == dim))):
+                dim = sizes[at[0]]
                 x = flat[offsets[at][:, None] + np.arange(dim)].astype(np.float64)
                 codes = _codes(normalised(x), label.to_numpy()[at], t)
                 which = pa.array(at)

@@ -40,7 +40,8 @@ def targets(sizes: DataFrame, *, source: str = "source", weights: Sequence[float
 
     Sources in order of code points, null last, weigh ``weights``, repeating, and share ``total`` (all sizes together
     if None). No target is above ``most`` times its source's size: the excess goes to the others by weight, as long as
-    one is above. If all are at their bound, the rest of ``total`` is left over.
+    one is above. If all are at their bound, the rest of ``total`` is left over. Sources are ranked in one task, one row
+    each.
     """
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     ranked = sizes.withColumn("_w", F.element_at(cycle, (F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1) % len(weights) + 1))

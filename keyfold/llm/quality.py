@@ -200,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **options)
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", counts(F.col("text")).alias("c"))
     rows = rows.select("doc_id", (F.col("quality") == 0).alias("bad"), *(feature(F.col("c"), f).alias(f) for f in RATIOS))
-    got = rows.toPandas().drop_duplicates("doc_id")
+    # an id may have many rows; the least statistics stand for it
+    got = rows.groupBy("doc_id").agg(F.min(F.struct("bad", *RATIOS)).alias("r")).select("doc_id", "r.*").toPandas()
     got = got.iloc[np.argsort(splitmix(got["doc_id"].to_numpy(np.int64).view(np.uint64)), kind="stable")]
     return learn({f: got[f].to_numpy(np.float64) for f in RATIOS}, got["bad"].to_numpy(bool), **options) if len(got) else []
 
