@@ -166,7 +166,7 @@ def plan(fps: DataFrame, distance: int, choices: tuple[int, ...] = (2, 3, 4, 5,
 
 
 def probes(fps: DataFrame, parts: Parts) -> DataFrame:
-    """(key, fp, probe): each fingerprint under its own value of each part, and under values near it.
+    """(key, fp, node, probe): each fingerprint under its own value of each part, and under values near it.
 
     Of two values that differ, the one with the lowest differing bit unset probes; so each pair meets once per part.
     """
@@ -174,19 +174,19 @@ def probes(fps: DataFrame, parts: Parts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
+            fp, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             for i, mask, threshold in work:
                 salt = np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
                 own = fp & np.uint64(mask)
                 bits = [b for b in range(BITS) if mask >> b & 1]
                 sets = [s for e in range(threshold + 1) for s in combinations(bits, e)]
                 for s in sets:
-                    here = own if not s else own[own >> np.uint64(s[0]) & np.uint64(1) == 0]
-                    who = fp if not s else fp[own >> np.uint64(s[0]) & np.uint64(1) == 0]
-                    key = splitmix((here ^ np.uint64(sum(1 << b for b in s))) + salt)
-                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(who.view(np.int64)), pa.array(np.full(len(key), bool(s)))], names=["key", "fp", "probe"])
+                    who = own >> np.uint64(s[0]) & np.uint64(1) == 0 if s else slice(None)
+                    key = splitmix((own[who] ^ np.uint64(sum(1 << b for b in s))) + salt)
+                    values = (key.view(np.int64), fp[who].view(np.int64), node[who], np.full(len(key), bool(s)))
+                    yield pa.record_batch([pa.array(v) for v in values], names=["key", "fp", "node", "probe"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
+    return fps.select("fp", "node").mapInArrow(run, "key long, fp long, node long, probe boolean")
 
 
 def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> list[int]:
@@ -228,23 +228,26 @@ def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance:
         pairs.append((a[use], b[use], far[i[use], b[use]]))
     a, b, far = (np.concatenate(x) for x in zip(*pairs, strict=True))
     chosen = nearest_forest(len(fp), a, b, far)
-    return fp[a[chosen]], fp[b[chosen]]
+    return a[chosen], b[chosen]
 
 
 def links(fps: DataFrame, parts: Parts, distance: int) -> DataFrame:
-    """(a, b) that connect distinct fingerprints just as all pairs within ``distance`` bits do."""
+    """(a, b, far): nodes a < b that connect (fp, node) rows just as all pairs within ``distance`` bits do; far: their bits.
+
+    Fingerprints are distinct.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, sizes in whole_buckets(batches):
             yield _linked(rows, starts, sizes, distance)
 
-    return in_blocks(probes(fps, parts), "fp", BLOCK).mapInArrow(run, "a long, b long").distinct()
+    return in_blocks(probes(fps, parts), "fp", BLOCK).mapInArrow(run, "a long, b long, far int").distinct()
 
 
 def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int) -> pa.RecordBatch:
     """Small buckets are compared side by side for a whole batch, larger ones each by a matrix."""
     fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
-    probe = rows.column("probe").to_numpy()
+    probe, node = rows.column("probe").to_numpy(), rows.column("node").to_numpy()
     left, right = [], []
     group = np.repeat(np.arange(len(starts)), sizes)
     inside = np.repeat(sizes <= SMALL, sizes)
@@ -253,20 +256,23 @@ def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int
         there = here + k
         ok = (np.bitwise_count(fp[here] ^ fp[there]) <= distance) & ~(probe[here] & probe[there])
         ok &= (side[here] == 2) | (side[here] != side[there])
-        left.append(fp[here[ok]])
-        right.append(fp[there[ok]])
+        left.append(here[ok])
+        right.append(there[ok])
     for g in np.flatnonzero(sizes > SMALL):
         s = slice(starts[g], starts[g] + sizes[g])
         if not probe[s].all():
             a, b = _bucket_links(fp[s], probe[s], side[s], distance)
-            left.append(a)
-            right.append(b)
-    both = [np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64) for x in (left, right)]
-    return pa.record_batch([pa.array(x) for x in both], names=["a", "b"])
+            left.append(a + starts[g])
+            right.append(b + starts[g])
+    i, j = (np.concatenate(x or [np.empty(0, np.int64)]).astype(np.int64) for x in (left, right))
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32))], names=["a", "b", "far"])
 
 
 #: Links of up to so many bits are taken as they are where texts are compared; unrelated texts are never so near.
 SURE = 4
+#: Links of up to so many bits are followed first; of the others, only those between groups are looked at.
+NEARER = 6
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -287,32 +293,41 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 def node_links(nodes: DataFrame, fp: str, distance: int) -> DataFrame:
     """(a, b, far): nodes whose fingerprints in column ``fp`` are near, connected as in ``links``; equal ones meet at one."""
-    own = nodes.groupBy(fp).agg(F.min("node").alias("low"))
-    own = staged(own.withColumnRenamed(fp, "fp"), "prints")
-    found = links(own, plan(own, distance), distance).withColumn("far", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-    for end in ("a", "b"):
-        found = found.join(own.select(F.col("fp").alias(end), F.col("low").alias(f"low_{end}")), end)
-    found = found.select(F.col("low_a").alias("a"), F.col("low_b").alias("b"), "far")
-    equal = nodes.select(F.col(fp).alias("fp"), "node").join(own, "fp").filter("node <> low")
-    return found.unionByName(equal.select(F.col("low").alias("a"), F.col("node").alias("b"), F.lit(0).alias("far")))
+    own = staged(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("node")), "prints")
+    found = links(own, plan(own, distance), distance)
+    equal = nodes.select(F.col(fp).alias("fp"), F.col("node").alias("b")).join(own, "fp").filter("node <> b")
+    return found.unionByName(equal.select(F.col("node").alias("a"), "b", F.lit(0).alias("far")))
 
 
-def similar_links(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """Links whose texts' shingle sets have ``similarity`` of their union in common, and those of SURE bits.
+def texts_of(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): shingle sets of nodes with a link of over SURE bits; a node's first document stands for it."""
+    needed = edges.filter(F.col("far") > SURE).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    needed = staged(needed.select("node", F.col("first.doc_id").alias("_id"), F.col("first.t").alias("_t")), "needed")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t"))
+    texts = docs.select("doc_id", "text").join(needed.hint("merge"), same)
+    return staged(_shingle_sets(texts.select("node", "text"), shingle).dropDuplicates(["node"]), "shingles")
 
-    Each node is stood for by its first document.
-    """
-    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    edges = staged(edges.select(*ends, "far").groupBy("a", "b").agg(F.min("far").alias("far")), "links")
-    open_ = edges.filter(F.col("far") > SURE)
-    needed = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    needed = needed.select("node", F.col("first.doc_id").alias("_id"), F.col("first.t").alias("_t"))
-    texts = docs.select("doc_id", "text").join(staged(needed, "needed").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t")))
-    sets = staged(_shingle_sets(texts.select("node", "text"), shingle), "shingles").dropDuplicates(["node"])
-    both = open_.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+
+def similar_links(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links whose texts' shingle sets have ``similarity`` of their union in common, and those of SURE bits."""
+    x, y = (sets.select(F.col("node").alias(end), F.col("s").alias(s)) for end, s in (("a", "x"), ("b", "y")))
+    both = edges.filter(F.col("far") > SURE).join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("x", "y"))
     kept = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
-    return edges.filter(F.col("far") <= SURE).select("a", "b").unionByName(kept.select("a", "b"))
+    return staged(edges.filter(F.col("far") <= SURE).select("a", "b").unionByName(kept.select("a", "b")), "similar")
+
+
+def similar_groups(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) under ``similar_links``; in a large group most long links join what short ones have joined."""
+    edges = staged(edges.groupBy("a", "b").agg(F.min("far").alias("far")), "links")
+    sets = texts_of(edges, nodes, docs, shingle)
+    groups = components(similar_links(edges.filter(F.col("far") <= NEARER), sets, similarity))
+    across = edges.filter(F.col("far") > NEARER)
+    for end in ("a", "b"):
+        across = across.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    across = staged(across.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "far"), "across")
+    more = similar_links(across, sets, similarity)
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, prints: int = 3, similarity: float | None = 0.8) -> DataFrame:
@@ -333,14 +348,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, pr
     if nodes.isEmpty():
         return rows.select("doc_id", "t", "fp", F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
     if prints == 1:
-        found = links(nodes, plan(nodes, distance), distance).withColumn("far", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+        found = links(nodes, plan(nodes, distance), distance)
     else:
         found = node_links(nodes, fps[0], distance)
         for fp in fps[1:]:
             found = found.unionByName(node_links(nodes, fp, distance))
-    if similarity is not None:
-        found = similar_links(found, nodes, docs, shingle=shingle, similarity=similarity)
-    label = components(found.select("a", "b")).withColumnRenamed("node", "of")
+    if similarity is None:
+        label = components(found.select("a", "b"))
+    else:
+        label = similar_groups(found, nodes, docs, shingle=shingle, similarity=similarity)
+    label = label.withColumnRenamed("node", "of")
     named = staged(nodes.join(label, F.col("node") == F.col("of"), "left").select(*fps, "first", F.coalesce("component", "node").alias("component")), "labels")
     first = named.groupBy("component").agg(F.min("first").alias("first"))
     named = named.drop("first").join(first, "component").select(*fps, "first")

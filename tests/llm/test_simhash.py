@@ -63,12 +63,12 @@ def test_dense_and_chained_fingerprints(spark, monkeypatch):
             x = flip(x, rng.randint(3, 6))
             fps.append(x)
     fps = list(dict.fromkeys(fps)) + [0, 2**64 - 1]
-    nodes = spark.createDataFrame([(p - 2**64 if p >> 63 else p,) for p in fps], "fp long")
+    nodes = spark.createDataFrame([(p - 2**64 if p >> 63 else p,) * 2 for p in fps], "fp long, node long")
     for distance in (4, 7):
         parts = simhash.plan(nodes, distance)
         assert sum(t + 1 for t in parts.thresholds) == distance + 1
         assert sum(parts.masks) == 2**64 - 1
-        found = {r[0]: r[1] for r in components(simhash.links(nodes, parts, distance)).collect()}
+        found = {r[0]: r[1] for r in components(simhash.links(nodes, parts, distance).select("a", "b")).collect()}
         want = brute_groups([(p, p) for p in fps], distance)
         got = {p: found.get(p - 2**64 if p >> 63 else p, p - 2**64 if p >> 63 else p) for p in fps}
         classes = lambda m: sorted(sorted(p for p in fps if m[p] == c) for c in set(m.values()))
