@@ -49,3 +49,15 @@ def test_registered_and_whole(spark):
 
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert corpus_pipeline.run(spark, SMALL).filter(F.col("n_tokens") > 0).count() > 100
+
+
+def test_clashing_columns_nulls_and_an_empty_table(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int, copies int, row string, counts int, _n int, n_removed int"
+    text = "a few more than twenty words are needed here so that the base rules let this short text pass them and it goes on"
+    rows = [(1, text, "en", "a", 5, "k", 1, 1, "r", 1, 1, 1), (2, None, None, None, None, None, 1, 1, None, 1, 1, 1), (None, text + " and on", "en", None, 5, None, 1, 1, None, 1, 1, 1), (4, "", "en", "b", 0, "k", 1, 1, "r", 1, 1, 1)]
+    for docs in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
+        empty = docs.isEmpty()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, SMALL)
+            assert k == 4 or docs.columns == [c.split(" ")[0] for c in names.split(", ")]
+            assert (docs.count() == 0) == empty
