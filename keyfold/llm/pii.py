@@ -237,9 +237,12 @@ def settled(entities: DataFrame, key: str) -> DataFrame:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, mention): what each document holds, once each."""
+    """(doc_id, t, mention): what each document holds, once each. Digits count as a card if their check digit is right."""
     found = docs.select("doc_id", F.xxhash64("text").alias("t"), F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("found"))
-    return found.select("doc_id", "t", F.explode("found").alias("mention"))
+    each = found.select("doc_id", "t", F.explode("found").alias("mention"))
+    digits = F.regexp_replace("mention", "[^0-9]", "")
+    valid = _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
+    return each.filter(F.when(F.col("mention").rlike(f"^(?:{PATTERNS['card']})$"), valid).otherwise(True))
 
 
 def replace(docs: DataFrame, *, key: str) -> DataFrame:
@@ -266,5 +269,6 @@ def replace(docs: DataFrame, *, key: str) -> DataFrame:
     both = both.withColumns({"found": found, "between": between})
     put = F.zip_with("between", F.concat("found", F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.coalesce(F.element_at("map", m), m)))
     text = F.when(touched, F.array_join(put, "")).otherwise(old).alias("text")
+    replaced = F.filter("found", lambda m: F.map_contains_key("map", m))
     kept = {c: F.col("row").getField(c).alias(c) for c in docs.columns} | {"text": text}
-    return both.select(*(kept[c] for c in docs.columns if c != "n_entities"), F.coalesce(F.size("found"), F.lit(0)).cast("bigint").alias("n_entities"))
+    return both.select(*(kept[c] for c in docs.columns if c != "n_entities"), F.coalesce(F.size(replaced), F.lit(0)).cast("bigint").alias("n_entities"))
