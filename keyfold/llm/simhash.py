@@ -169,12 +169,15 @@ def probes(fps: DataFrame, parts: Parts) -> DataFrame:
     """(key, fp, node, probe): each fingerprint under its own value of each part, and under values near it.
 
     Of two values that differ, the one with the lowest differing bit unset probes; so each pair meets once per part.
+    A column ``of`` comes along.
     """
+    more = [c for c in ("of",) if c in fps.columns]
     work = [(i, m, t) for i, (m, t) in enumerate(zip(parts.masks, parts.thresholds, strict=True)) if t >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            fp, *along = (c.to_numpy() for c in batch.columns)
+            fp = fp.view(np.uint64)
             for i, mask, threshold in work:
                 salt = np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
                 own = fp & np.uint64(mask)
@@ -183,10 +186,10 @@ def probes(fps: DataFrame, parts: Parts) -> DataFrame:
                 for s in sets:
                     who = own >> np.uint64(s[0]) & np.uint64(1) == 0 if s else slice(None)
                     key = splitmix((own[who] ^ np.uint64(sum(1 << b for b in s))) + salt)
-                    values = (key.view(np.int64), fp[who].view(np.int64), node[who], np.full(len(key), bool(s)))
-                    yield pa.record_batch([pa.array(v) for v in values], names=["key", "fp", "node", "probe"])
+                    values = (key.view(np.int64), fp[who].view(np.int64), *(c[who] for c in along), np.full(len(key), bool(s)))
+                    yield pa.record_batch([pa.array(v) for v in values], names=["key", "fp", "node", *more, "probe"])
 
-    return fps.select("fp", "node").mapInArrow(run, "key long, fp long, node long, probe boolean")
+    return fps.select("fp", "node", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "fp", "node", *more)) + ", probe boolean")
 
 
 def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> list[int]:
@@ -216,8 +219,8 @@ def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> lis
     return found
 
 
-def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in one bucket as a forest: fewer than its members. Own values meet all, some rows of the matrix at a time."""
+def _bucket_pairs(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in one bucket and their bits; with ``of``, those of different groups. Own values meet all, some rows of the matrix at a time."""
     own, pairs = np.flatnonzero(~probe), []
     for k in range(0, len(own), 256):
         rows = own[k : k + 256]
@@ -225,8 +228,16 @@ def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance:
         i, b = np.nonzero(far <= distance)
         a = rows[i]
         use = (probe[b] | (a < b)) & ((side[0] == 2) | (side[a] != side[b]))
+        if of is not None:
+            use &= of[a] != of[b]
         pairs.append((a[use], b[use], far[i[use], b[use]]))
     a, b, far = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    return a, b, far
+
+
+def _bucket_links(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links in one bucket as a forest: fewer than its members."""
+    a, b, far = _bucket_pairs(fp, probe, side, distance)
     chosen = nearest_forest(len(fp), a, b, far)
     return a[chosen], b[chosen]
 
@@ -244,12 +255,10 @@ def links(fps: DataFrame, parts: Parts, distance: int) -> DataFrame:
     return in_blocks(probes(fps, parts), "fp", BLOCK).mapInArrow(run, "a long, b long, far int").distinct()
 
 
-def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int) -> pa.RecordBatch:
-    """Small buckets are compared side by side for a whole batch, larger ones each by a matrix."""
-    fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
-    probe, node = rows.column("probe").to_numpy(), rows.column("node").to_numpy()
+def _side_by_side(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All pairs in the buckets of up to SMALL rows."""
     left, right = [], []
-    group = np.repeat(np.arange(len(starts)), sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.repeat(sizes <= SMALL, sizes)
     for k in range(1, min(SMALL, len(fp))):
         here = np.flatnonzero(inside[:-k] & (group[:-k] == group[k:]))
@@ -258,6 +267,14 @@ def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int
         ok &= (side[here] == 2) | (side[here] != side[there])
         left.append(here[ok])
         right.append(there[ok])
+    return left, right
+
+
+def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int) -> pa.RecordBatch:
+    """Small buckets are compared side by side for a whole batch, larger ones each by a matrix."""
+    fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
+    probe, node = rows.column("probe").to_numpy(), rows.column("node").to_numpy()
+    left, right = _side_by_side(fp, probe, side, sizes, distance)
     for g in np.flatnonzero(sizes > SMALL):
         s = slice(starts[g], starts[g] + sizes[g])
         if not probe[s].all():
@@ -269,6 +286,49 @@ def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int
     return pa.record_batch([pa.array(a), pa.array(b), pa.array(np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32))], names=["a", "b", "far"])
 
 
+def links_between(fps: DataFrame, parts: Parts, distance: int, turn: int | None) -> DataFrame:
+    """(a, b, partly): nodes a < b within ``distance`` bits that are of different groups, ``of``, in (fp, node, of) rows.
+
+    All such pairs where ``turn`` is None. Else a bucket with more than MANY pairs a row sends a forest over its groups,
+    another one each turn, and these links are ``partly`` what there is. Fingerprints may repeat.
+    """
+    many = MANY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, sizes in whole_buckets(batches):
+            yield _linked_between(rows, starts, sizes, distance, turn, many)
+
+    return in_blocks(probes(fps, parts), "node", BLOCK).mapInArrow(run, "a long, b long, partly boolean")
+
+
+def _linked_between(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int, turn: int | None, many: int) -> pa.RecordBatch:
+    fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
+    probe, node, of = (rows.column(c).to_numpy() for c in ("probe", "node", "of"))
+    left, right = _side_by_side(fp, probe, side, sizes, distance)
+    partly = [np.zeros(len(x), bool) for x in left]
+    for g in np.flatnonzero(sizes > SMALL):
+        s = slice(starts[g], starts[g] + sizes[g])
+        if probe[s].all():
+            continue
+        a, b, _ = _bucket_pairs(fp[s], probe[s], side[s], distance, of[s])
+        if cut := turn is not None and len(a) > many * sizes[g]:
+            names, group = np.unique(of[s], return_inverse=True)
+            mixed = splitmix(np.minimum(node[s][a], node[s][b]).view(np.uint64) * np.uint64(31) + np.maximum(node[s][a], node[s][b]).view(np.uint64) + np.uint64(turn))
+            chosen = nearest_forest(len(names), group[a], group[b], mixed % np.uint64(64))
+            a, b = a[chosen], b[chosen]
+        left.append(a + starts[g])
+        right.append(b + starts[g])
+        partly.append(np.full(len(a), cut))
+    i, j = (np.concatenate(x or [np.empty(0, np.int64)]).astype(np.int64) for x in (left, right))
+    partly = np.concatenate(partly or [np.empty(0, bool)])
+    a, b, use = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), of[i] != of[j]
+    return pa.record_batch([pa.array(a[use]), pa.array(b[use]), pa.array(partly[use])], names=["a", "b", "partly"])
+
+
+#: Pairs a row from which on a bucket's pairs between groups are not all sent at once.
+MANY = 4
+#: Share of a turn's links that hold, below which all pairs left are looked at.
+WORTH = 0.1
 #: Links of up to so many bits are taken as they are where texts are compared; unrelated texts are never so near.
 SURE = 4
 #: Links of up to so many bits are followed first; of the others, only those between groups are looked at.
@@ -291,12 +351,13 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, s array<int>")
 
 
-def node_links(nodes: DataFrame, fp: str, distance: int) -> DataFrame:
-    """(a, b, far): nodes whose fingerprints in column ``fp`` are near, connected as in ``links``; equal ones meet at one."""
+def node_links(nodes: DataFrame, fp: str, distance: int) -> tuple[DataFrame, Parts]:
+    """(a, b, far): nodes whose fingerprints in column ``fp`` are near, connected as in ``links``; equal ones meet at one. And the parts."""
     own = staged(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("node")), "prints")
-    found = links(own, plan(own, distance), distance)
+    parts = plan(own, distance)
+    found = links(own, parts, distance)
     equal = nodes.select(F.col(fp).alias("fp"), F.col("node").alias("b")).join(own, "fp").filter("node <> b")
-    return found.unionByName(equal.select(F.col("node").alias("a"), "b", F.lit(0).alias("far")))
+    return found.unionByName(equal.select(F.col("node").alias("a"), "b", F.lit(0).alias("far"))), parts
 
 
 def texts_of(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -317,8 +378,19 @@ def similar_links(edges: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return staged(edges.filter(F.col("far") <= SURE).select("a", "b").unionByName(kept.select("a", "b")), "similar")
 
 
-def similar_groups(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """(node, component) under ``similar_links``; in a large group most long links join what short ones have joined."""
+def open_nodes(reach: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, of): nodes, and their groups, where what links reach is more than one group."""
+    held = reach.withColumnRenamed("component", "reach").join(groups, "node", "left").select("node", "reach", F.coalesce("component", "node").alias("of"))
+    several = held.groupBy("reach").agg(F.min("of").alias("least"), F.max("of").alias("most")).filter("least <> most")
+    return held.join(several.select("reach"), "reach", "left_semi").select("node", "of")
+
+
+def similar_groups(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, parts: dict[str, Parts], distance: int, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) under all pairs within ``distance`` bits in a print whose texts have the similarity.
+
+    The forest of nearest links is checked first; in a large group most long links join what short ones have joined.
+    A link that fails may have stood for one that holds, so pairs between groups are then sent until all are checked.
+    """
     edges = staged(edges.groupBy("a", "b").agg(F.min("far").alias("far")), "links")
     sets = texts_of(edges, nodes, docs, shingle)
     groups = components(similar_links(edges.filter(F.col("far") <= NEARER), sets, similarity))
@@ -327,7 +399,27 @@ def similar_groups(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, shing
         across = across.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
     across = staged(across.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "far"), "across")
     more = similar_links(across, sets, similarity)
-    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    joined = lambda groups, more: staged(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
+    groups, reach = joined(groups, more), staged(components(edges.select("a", "b")), "reach")
+    checked, turn = edges.select("a", "b"), 0
+    while True:
+        left = staged(nodes.join(open_nodes(reach, groups), "node").select("node", "of", *parts), "open")
+        if left.isEmpty():
+            return groups
+        found = None
+        for fp, p in parts.items():
+            more = links_between(left.select(F.col(fp).alias("fp"), "node", "of"), p, distance, turn)
+            found = more if found is None else found.unionByName(more)
+        found = staged(found.groupBy("a", "b").agg(F.max("partly").alias("partly")), "between")
+        new = staged(found.select("a", "b").join(checked, ["a", "b"], "left_anti"), "unchecked")
+        held = similar_links(new.withColumn("far", F.lit(distance)), sets, similarity)
+        n_new, n_held = new.count(), held.count()
+        if n_held:
+            groups = joined(groups, held)
+        if found.filter("partly").isEmpty():
+            return groups
+        checked = checked.unionByName(new)
+        turn = turn + 1 if turn is not None and n_held > WORTH * n_new else None
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, prints: int = 3, similarity: float | None = 0.8) -> DataFrame:
@@ -348,15 +440,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, pr
     if nodes.isEmpty():
         return rows.select("doc_id", "t", "fp", F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
     if prints == 1:
-        found = links(nodes, plan(nodes, distance), distance)
+        parts = {"fp": plan(nodes, distance)}
+        found = links(nodes, parts["fp"], distance)
     else:
-        found = node_links(nodes, fps[0], distance)
-        for fp in fps[1:]:
-            found = found.unionByName(node_links(nodes, fp, distance))
+        found, parts = None, {}
+        for fp in fps:
+            more, parts[fp] = node_links(nodes, fp, distance)
+            found = more if found is None else found.unionByName(more)
     if similarity is None:
         label = components(found.select("a", "b"))
     else:
-        label = similar_groups(found, nodes, docs, shingle=shingle, similarity=similarity)
+        label = similar_groups(found, nodes, docs, parts=parts, distance=distance, shingle=shingle, similarity=similarity)
     label = label.withColumnRenamed("node", "of")
     named = staged(nodes.join(label, F.col("node") == F.col("of"), "left").select(*fps, "first", F.coalesce("component", "node").alias("component")), "labels")
     first = named.groupBy("component").agg(F.min("first").alias("first"))

@@ -133,3 +133,33 @@ def test_one_of_each_group_keeps_columns_and_repeats_once(spark):
     got = sorted(((r["doc_id"], r["_n"]) for r in out.collect()), key=str)
     assert got in (sorted([(2, "y"), (8, "e"), (None, "z")], key=str), sorted([(2, "y"), (4, "x"), (8, "e"), (None, "z")], key=str))
     assert simhash.one_of_each_group(df.limit(0)).count() == 0
+
+
+def family(rng, n, most, name):
+    """Distinct texts, some from others of the family, with a few new words each; similarities lie about 0.8."""
+    texts = [[f"{name}{rng.randrange(900)}" for _ in range(240)]]
+    while len(texts) < n:
+        w = list(texts[0] if rng.random() < 0.8 else rng.choice(texts))
+        for _ in range(rng.randint(2, most)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts.append(w)
+    return [" ".join(w) for w in texts[1:]]
+
+
+def similar_components(texts, distance=10):
+    prints = np.array([simhash.fingerprint(t.encode(), 5, 3) for t in texts])
+    far = np.bitwise_count(prints[:, None] ^ prints[None]).min(axis=2)
+    sure = [(int(i), int(j)) for i, j in zip(*np.nonzero(far <= distance), strict=True) if j < i and (far[i, j] <= simhash.SURE or jaccard(texts[i], texts[j]) >= 0.8)]
+    return brute_components(range(len(texts)), sure)
+
+
+def test_large_families_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [t for k in range(5) for t in family(rng, 90, 5 + k, "abcde"[k])]
+    want = similar_components(texts)
+    assert 100 < len(set(want.values())) < len(texts) - 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(simhash, "MANY", 0)  # forests in turns, before all pairs left are looked at
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == want
