@@ -329,8 +329,8 @@ def _linked_between(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, dista
 MANY = 4
 #: Share of a turn's links that hold, below which all pairs left are looked at.
 WORTH = 0.1
-#: Links of up to so many bits are taken as they are where texts are compared; unrelated texts are never so near.
-SURE = 4
+#: Links of up to so many bits are taken as they are where texts are compared: none, as prints may be equal where texts are not.
+SURE = -1
 #: Links of up to so many bits are followed first; of the others, only those between groups are looked at.
 NEARER = 6
 
@@ -361,8 +361,8 @@ def node_links(nodes: DataFrame, fp: str, distance: int) -> tuple[DataFrame, Par
 
 
 def texts_of(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, s): shingle sets of nodes with a link of over SURE bits; a node's first document stands for it."""
-    needed = edges.filter(F.col("far") > SURE).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    """(node, s): shingle sets of nodes with a link; a node has one text, and its first document stands for it."""
+    needed = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
     needed = staged(needed.select("node", F.col("first.doc_id").alias("_id"), F.col("first.t").alias("_t")), "needed")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t"))
     texts = docs.select("doc_id", "text").join(needed.hint("merge"), same)
@@ -370,12 +370,12 @@ def texts_of(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
 
 
 def similar_links(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links whose texts' shingle sets have ``similarity`` of their union in common, and those of SURE bits."""
+    """(a, b): links whose texts' shingle sets have ``similarity`` of their union in common."""
     x, y = (sets.select(F.col("node").alias(end), F.col("s").alias(s)) for end, s in (("a", "x"), ("b", "y")))
-    both = edges.filter(F.col("far") > SURE).join(x, "a").join(y, "b")
+    both = edges.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("x", "y"))
     kept = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
-    return staged(edges.filter(F.col("far") <= SURE).select("a", "b").unionByName(kept.select("a", "b")), "similar")
+    return staged(kept.select("a", "b"), "similar")
 
 
 def open_nodes(reach: DataFrame, groups: DataFrame) -> DataFrame:
@@ -412,7 +412,7 @@ def similar_groups(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, parts
             found = more if found is None else found.unionByName(more)
         found = staged(found.groupBy("a", "b").agg(F.max("partly").alias("partly")), "between")
         new = staged(found.select("a", "b").join(checked, ["a", "b"], "left_anti"), "unchecked")
-        held = similar_links(new.withColumn("far", F.lit(distance)), sets, similarity)
+        held = similar_links(new, sets, similarity)
         n_new, n_held = new.count(), held.count()
         if n_held:
             groups = joined(groups, held)
@@ -427,19 +427,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, pr
 
     docs: doc_id and text; other columns are not looked at. t: a hash of the text. Texts are linked if any of their
     ``prints`` fingerprints are at ``distance`` bits or fewer; with ``similarity``, links are then checked on the
-    texts' shingle sets. Texts with equal fingerprints are one node of the graph, so copies cost a count. Texts that
-    are null, empty or without words have fingerprint 0 and are linked like any other. kept: true for a group's first
+    texts' shingle sets, whatever their bits. Equal texts are one node of the graph (without ``similarity``, texts with
+    equal fingerprints are), so copies cost a count. Texts that are null, empty or without words have fingerprint 0 and
+    are linked like any other; no shingles are as similar as can be to no shingles. kept: true for a group's first
     row by doc_id (null last), then text; rows equal in both are first together. A null doc_id is never the smallest; a
     group with no other has a null component_id. Rows repeat as given. An empty table gives an empty result.
     """
     rows = staged(fingerprints(docs, shingle=shingle, prints=prints), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
     fps = ["fp", *(f"fp{r}" for r in range(1, prints))]
-    nodes = rows.groupBy(*fps).agg(F.min(place).alias("first"))
-    nodes = staged(nodes.withColumn("node", F.col("fp") if prints == 1 else F.monotonically_increasing_id()), "nodes")
+    same = fps if similarity is None else [*fps, "t"]
+    nodes = rows.groupBy(*same).agg(F.min(place).alias("first"))
+    nodes = staged(nodes.withColumn("node", F.col("fp") if same == ["fp"] else F.monotonically_increasing_id()), "nodes")
     if nodes.isEmpty():
         return rows.select("doc_id", "t", "fp", F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
-    if prints == 1:
+    if same == ["fp"]:
         parts = {"fp": plan(nodes, distance)}
         found = links(nodes, parts["fp"], distance)
     else:
@@ -452,10 +454,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, pr
     else:
         label = similar_groups(found, nodes, docs, parts=parts, distance=distance, shingle=shingle, similarity=similarity)
     label = label.withColumnRenamed("node", "of")
-    named = staged(nodes.join(label, F.col("node") == F.col("of"), "left").select(*fps, "first", F.coalesce("component", "node").alias("component")), "labels")
+    named = staged(nodes.join(label, F.col("node") == F.col("of"), "left").select(*same, "first", F.coalesce("component", "node").alias("component")), "labels")
     first = named.groupBy("component").agg(F.min("first").alias("first"))
-    named = named.drop("first").join(first, "component").select(*fps, "first")
-    return rows.join(named, fps).select("doc_id", "t", "fp", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("kept"))
+    named = named.drop("first").join(first, "component").select(*same, "first")
+    return rows.join(named, same).select("doc_id", "t", "fp", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:

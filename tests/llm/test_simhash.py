@@ -163,3 +163,16 @@ def test_large_families_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MANY", 0)  # forests in turns, before all pairs left are looked at
     monkeypatch.setattr(simhash, "BLOCK", 64)
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == want
+
+
+def test_equal_prints_are_checked_on_texts(spark):
+    rng = random.Random(2)
+    often = " ".join(["one two three four five"] * 400)
+    other = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    texts = [f"{often} {other()}" for _ in range(12)]
+    texts += [texts[0].upper(), texts[3] + " end", texts[3]]
+    prints = np.array([simhash.fingerprint(t.encode(), 5, 3) for t in texts])
+    assert (np.bitwise_count(prints[:, None] ^ prints[None]).min(axis=2) <= 4).all()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["component_id"] for r in simhash.near_duplicates(df).orderBy("doc_id").collect()]
+    assert got == [*range(12), 0, 3, 3]
