@@ -47,7 +47,10 @@ PATTERNS = {
     "phone": r"(?:\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5}|\(?[0-9]{3}\)?[ .\-][0-9]{3,4}[ .\-][0-9]{3,4})(?![0-9])",
     "person": rf"(?:{_TITLE} {_NAME}(?: {_NAME})?|(?:{'|'.join(n for g in GIVEN for n in g)}) {_NAME})",
 }
-ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
+_START = r"(?<![\p{L}\p{N}])"
+#: Usual forms of a card, looked for from every place; in any other form it is looked for where the last one ended, as in a
+#: table of numbers a tenth of all places would begin one.
+USUAL = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
 _SEPARATOR = r"[^\p{L}\p{N}]"
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnprstvwz"
@@ -236,13 +239,28 @@ def settled(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
+def _valid(card: Column) -> Column:
+    digits = F.regexp_replace(card, "[^0-9]", "")
+    return _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
+
+
+def pattern(text: Column) -> Column:
+    """What to search ``text`` with. Digits are a card only if their check digit is right, which no pattern can tell: the
+    text's own cards stand in the pattern, and at other digits the search goes on to the kinds that follow.
+    """
+    shapes = (f"{_START}({PATTERNS['card']})", f"{_START}(?=({USUAL}))")
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(x), F.lit(1)) for x in shapes)))
+    cards = F.reverse(F.array_sort(F.array_distinct(F.filter(found, _valid))))  # the longer of two that begin alike is first
+    own = F.when(text.rlike(_START + PATTERNS["card"]) & (F.size(cards) > 0), F.array_join(cards, "|")).otherwise("(?!)")
+    kinds = list(PATTERNS)
+    before, after = (F.lit("|".join(PATTERNS[k] for k in ks)) for ks in (kinds[: kinds.index("card")], kinds[kinds.index("card") + 1 :]))
+    return F.concat(F.lit(f"{_START}(?:"), before, F.lit("|(?=[0-9])(?:"), own, F.lit(")(?![0-9])|"), after, F.lit(")"))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """(doc_id, t, mention): what each document holds, once each. Digits count as a card if their check digit is right."""
-    found = docs.select("doc_id", F.xxhash64("text").alias("t"), F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("found"))
-    each = found.select("doc_id", "t", F.explode("found").alias("mention"))
-    digits = F.regexp_replace("mention", "[^0-9]", "")
-    valid = _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
-    return each.filter(F.when(F.col("mention").rlike(f"^(?:{PATTERNS['card']})$"), valid).otherwise(True))
+    found = docs.select("doc_id", F.xxhash64("text").alias("t"), F.array_distinct(F.regexp_extract_all("text", pattern(F.col("text")), F.lit(0))).alias("found"))
+    return found.select("doc_id", "t", F.explode("found").alias("mention"))
 
 
 def replace(docs: DataFrame, *, key: str) -> DataFrame:
@@ -264,8 +282,8 @@ def replace(docs: DataFrame, *, key: str) -> DataFrame:
     keyed = wrapped(docs, "doc_id", F.xxhash64("text").alias("own"))
     both = keyed.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("t")), "left")
     touched, old = F.col("map").isNotNull(), F.col("row").getField("text")
-    found = F.when(touched, F.regexp_extract_all(old, F.lit(ANY), F.lit(0)))
-    between = F.when(touched, F.split(old, ANY, -1))
+    found = F.when(touched, F.regexp_extract_all(old, pattern(old), F.lit(0)))
+    between = F.when(touched, F.split(old, pattern(old), -1))
     both = both.withColumns({"found": found, "between": between})
     put = F.zip_with("between", F.concat("found", F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.coalesce(F.element_at("map", m), m)))
     text = F.when(touched, F.array_join(put, "")).otherwise(old).alias("text")

@@ -92,3 +92,16 @@ def test_query_replaces_what_a_plain_search_finds(spark):
         if not r["n_entities"]:
             assert r["text"] == old[r["doc_id"]]
     assert mapped and len(set(mapped.values())) == len(mapped)
+
+
+def test_numbers_side_by_side(spark):
+    texts = ["123-45-6789 987-65-4321", "555-123-4567 987-65-4321", "2024 555-123-4567", "1234 123-45-6789 123-45-6788 7", "12 4539148803436467 12", "2 4539 1488 0343 6467 3"]
+    wrong, more = ["4539148803436468 12", "12 34 56 78 90 12 34 56"], ["123-45-6789 987-65-4322", "2023 555-123-4567"]  # as a whole, the first and third text happen to be cards
+    df = spark.createDataFrame(list(enumerate(texts + wrong + more)), "doc_id long, text string")
+    out = [(r["text"], r["n_entities"]) for r in pii.replace(df, key="k").orderBy("doc_id").collect()]
+    assert [n for _, n in out] == [1, 2, 1, 2, 1, 1, 0, 0, 2, 1] and [t for t, _ in out[6:8]] == wrong
+    clear = ("123-45-6789", "987-65-4321", "987-65-4322", "555-123-4567", "123-45-6788", "4539148803436467", "4539 1488 0343 6467")
+    assert not [(c, t) for t, _ in out for c in clear if c in t]
+    shape = lambda t: re.sub(r"\d", "9", t)
+    assert [shape(t) for t, _ in out] == [shape(t) for t in texts + wrong + more]
+    assert out[9][0].startswith("2023 ") and out[4][0][:3] + out[4][0][-3:] == "12  12" and luhn(out[4][0][3:-3])
