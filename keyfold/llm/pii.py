@@ -37,10 +37,10 @@ _TITLE = "(?:" + "|".join(t for group in TITLES.values() for t in group) + r")\.
 #: In the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"""(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)["']?\s{0,3}[:=]\s{0,3}["']?(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{8,512}""",
+    "secret": r"""(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)["']?\s{0,3}[:=]\s{0,3}["']?(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{8,}+""",
     "cloud_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _END,
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "hex": r"(?=[a-f]{0,128}[0-9])[0-9a-f]{32,128}" + _END,
+    "hex": r"(?=[a-f]*+[0-9])[0-9a-f]{32,}+" + _END,
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
@@ -209,6 +209,7 @@ def _rendered(kind: Column, raw: Column, new: Column) -> Column:
         return F.when(c.rlike(_SEPARATOR), c).otherwise(s)
 
     walked = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), at), "")
+    walked = F.when(raw.rlike(_SEPARATOR), walked).otherwise(F.substring(new, F.lit(1), F.length(raw)))
     used = F.length(F.regexp_replace(raw, _SEPARATOR, ""))
     walked = F.concat(walked, F.substring(new, used + 1, F.length(new)))
     is_name = kind.startswith("given") | (kind == "name")

@@ -105,3 +105,14 @@ def test_numbers_side_by_side(spark):
     shape = lambda t: re.sub(r"\d", "9", t)
     assert [shape(t) for t, _ in out] == [shape(t) for t in texts + wrong + more]
     assert out[9][0].startswith("2023 ") and out[4][0][:3] + out[4][0][-3:] == "12  12" and luhn(out[4][0][3:-3])
+
+
+def test_long_keys_are_replaced_whole(spark):
+    digits = lambda n, shift: "".join("0123456789abcdef"[(i * i + shift) % 16] for i in range(n))
+    keys = [digits(n, k) for k, n in enumerate((129, 600, 5000))] + ["x" * 300 + "1", "ab/Cd+" * 100 + "7"]
+    texts = [f"see {keys[0]} end", f"see {keys[1]} end", f"see {keys[2]} end"] + [f"token={k} end" for k in keys]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.replace(df, key="k").collect():
+        old, new = re.split("[ =]", texts[r["doc_id"]])[1], re.split("[ =]", r["text"])[1]
+        assert r["n_entities"] == 1 and r["text"].replace(new, old) == texts[r["doc_id"]] and len(new) == len(old)
+        assert not [k for k in range(0, len(old) - 20, 20) if set(old[k : k + 20]) != {"x"} and old[k : k + 20] == new[k : k + 20]] and new[-40:] != old[-40:]
