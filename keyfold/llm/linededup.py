@@ -51,7 +51,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs: doc_id, text and any other columns; columns named n_lines and n_removed are replaced. Occurrences are
     ordered by doc_id (null last), then text, then place. Rows equal in id and text are one document and get equal
     results. A text of fewer than three lines has no window and stays, as does a null text; a text all of whose lines
-    go is empty. An empty table gives an empty result.
+    go is empty. Windows without a word (three blank or white-space lines) are exempt: they stay however often they
+    occur. An empty table gives an empty result.
     """
     cut = staged(later_windows(docs), "cuts").withColumnRenamed("doc_id", "id")
     # a merge join at any size: cuts grow with the corpus, and the plan should not change on the way
