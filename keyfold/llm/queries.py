@@ -46,7 +46,7 @@ def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = suffixes.remove_repeats(_table(spark, d, "documents"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op7_warc(spark: SparkSession, d: str) -> DataFrame:

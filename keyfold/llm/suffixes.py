@@ -32,8 +32,8 @@ from keyfold.llm.shared import columns, splitmix, staged, utf8
 #: anchor with more that are counted together.
 ANCHOR, STARTS, SHARD, HOT = 32, 1 << 16, 16_384, (512, 32_768)
 CELL = 16
-#: Bits of the broadcast filter on anchors, at most: 16 MB. Its false hits cost time and change nothing.
-FILTER_BITS = 1 << 27
+#: Documents whose remaining texts are made together.
+ROWS = 512
 _PLACE = (1 << 24) - 1
 
 
@@ -66,14 +66,9 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndarr
 
     ``offsets`` bounds the documents inside ``text``; places count from their beginning of ``text``.
     """
-    inside = np.zeros(len(text) + 1, np.int32)
-    long = np.diff(offsets) >= length
-    np.add.at(inside, offsets[:-1][long], 1)
-    np.add.at(inside, offsets[1:][long] - length + 1, -1)
-    inside = np.cumsum(inside[:-1]) > 0
     width, found = length - ANCHOR + 1, [[np.empty(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.uint64)]
     for c in range(0, max(0, len(text) - length + 1), STARTS):
-        here = inside[c : min(c + STARTS, len(text) - length + 1)]
+        here = _starts_inside(offsets, c, min(c + STARTS, len(text) - length + 1), length)
         if not here.any():
             continue
         part = text[c : c + len(here) + length - 1]
@@ -90,6 +85,17 @@ def runs_of(text: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndarr
     return [np.concatenate(column) for column in found]
 
 
+def _starts_inside(offsets: np.ndarray, lo: int, hi: int, length: int) -> np.ndarray:
+    """For places lo to hi, whether a string of ``length`` bytes starts there and ends in the same document."""
+    first, last = int(np.searchsorted(offsets, lo, side="right")) - 1, int(np.searchsorted(offsets, hi, side="left"))
+    begin = np.clip(offsets[first:last], lo, hi) - lo
+    end = np.clip(offsets[first + 1 : last + 1] - length + 1, lo, hi) - lo
+    use, steps = end > begin, np.zeros(hi - lo + 1, np.int8)
+    np.add.at(steps, begin[use], 1)
+    np.add.at(steps, end[use], -1)
+    return np.cumsum(steps[:-1], dtype=np.int8) > 0
+
+
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a batch one after the other, and their bounds; null is empty."""
     texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).fill_null(b"")
@@ -144,48 +150,22 @@ def _rows(names: list[str], *values: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.ascontiguousarray(v)) for v in values], names=names)
 
 
-def anchor_filter(anchors: DataFrame) -> np.ndarray | None:
-    """A bit set by the lowest bits of each anchor, 16 bits for each if they are few enough; None if there is none."""
-    n = anchors.count()
-    if not n:
-        return None
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (16 * n).bit_length()))
-    at = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = anchors.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("b")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(len(bits) * 64 - 1)
-    return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-
-
-def contexts(docs: DataFrame, length: int, wanted: np.ndarray, unwanted: np.ndarray | None = None) -> DataFrame:
-    """Contexts of anchors in ``wanted`` and not in ``unwanted``, once per batch: (h, x, y, place of the anchor, context)."""
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, unwanted))
+def contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """(h, x, y, place of the anchor, hot, context): the bytes of contexts found at ``places`` (k, g, lo, hi, p, h, x, y, hot)."""
+    kinds = {"h": pa.int64(), "x": pa.int64(), "y": pa.int64(), "place": pa.int64(), "hot": pa.bool_(), "context": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, unwanted = shared.value
         for batch in batches:
-            text, offsets = _texts(batch)
-            raw = memoryview(text)
-            _, lo, hi, place, h = runs_of(text, offsets, length)
-            use = _in_filter(wanted, h)
-            if unwanted is not None:
-                use &= ~_in_filter(unwanted, h)
-            seen: dict[bytes, tuple[int, int, int, int]] = {}
-            for a, b, p, anchor in zip(lo[use].tolist(), hi[use].tolist(), place[use].tolist(), h[use].view(np.int64).tolist(), strict=True):
-                seen.setdefault(_digest(raw, a, b + length, p - a), (a, b, p, anchor))
-            keys = list(seen)
-            for k in range(0, len(keys), 4096):
-                found = [seen[x] for x in keys[k : k + 4096]]
-                x, y = np.frombuffer(b"".join(keys[k : k + 4096]), np.int64).reshape(-1, 2).T.copy()
-                body = pa.array([bytes(raw[a : b + length]) for a, b, _, _ in found], pa.binary())
-                yield pa.record_batch([pa.array([f[3] for f in found]), pa.array(x), pa.array(y), pa.array([p - a for a, _, p, _ in found]), body], names=_CONTEXT)
-
-    return docs.select("text").mapInArrow(run, "h long, x long, y long, place long, context binary")
+            for text, at in zip(utf8(batch.column(batch.schema.get_field_index("text"))), columns(batch, "at")[0], strict=True):
+                lo, hi, p, h, x, y, hot = (at.values.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "p", "h", "x", "y", "hot"))
+                for k in range(0, len(lo), 4096):
+                    s = slice(k, k + 4096)
+                    body = [text[a : b + length] for a, b in zip(lo[s].tolist(), hi[s].tolist(), strict=True)]
+                    yield pa.record_batch([pa.array(v, t) for v, t in zip((h[s], x[s], y[s], (p - lo)[s], hot[s], body), kinds.values(), strict=True)], names=list(kinds))
+
+    per_doc = places.groupBy("k", "g").agg(F.collect_list(F.struct("lo", "hi", "p", "h", "x", "y", "hot")).alias("at"))
+    found = docs.join(per_doc.hint("merge"), ["k", "g"]).select("text", "at")
+    return found.mapInArrow(run, "h long, x long, y long, place long, hot boolean, context binary")
 
 
 _CONTEXT = ["h", "x", "y", "place", "context"]
@@ -352,34 +332,37 @@ def _most_in_a_shard(several: DataFrame) -> int:
 
 
 def repeated_parts(docs: DataFrame, length: int) -> DataFrame:
-    """(k, g, lo, hi): per document key, bytes lo to hi that repeated strings cover; parts overlap, in no order."""
+    """(k, g, lo, hi): per document key, bytes lo to hi that repeated strings cover; parts overlap, in no order.
+
+    A context with an anchor that no other context has, found once in the corpus, is dropped as soon as contexts and
+    anchors are counted; texts are then read once more for the contexts that are left, one place of each.
+    """
     found = staged(occurrences(docs, length), "anchors")
     keyed = found.filter("n > 0").select("k", "g", "lo", "hi", "p", "h", "x", "y", "n")
-    per_context = staged(keyed.groupBy("h", "x", "y").agg(F.sum("n").alias("n")), "contexts")
+    per_context = staged(keyed.groupBy("h", "x", "y").agg(F.sum("n").alias("total")), "contexts")
     several = staged(per_context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "several")
-    whole = per_context.filter("n > 1").select("h", "x", "y")
+    left = staged(per_context.join(several.hint("merge"), "h", "left").filter("total > 1 or contexts > 1"), "left")
+    places = staged(keyed.drop("n").join(left.hint("merge"), ["h", "x", "y"]), "places")
     parts = [found.filter("n = 0").select("k", "g", "lo", (F.col("hi") + length).alias("hi"))]
-    parts.append(keyed.join(whole.hint("merge"), ["h", "x", "y"]).select("k", "g", "lo", (F.col("hi") + length).alias("hi")))
-    wanted = anchor_filter(several)
-    if wanted is not None:
-        hot = anchor_filter(several.filter(F.col("contexts") > _most_in_a_shard(several)))
-        some = _sorted_shards(contexts(docs, length, wanted, hot), length)
-        if hot is not None:
-            some = some.unionByName(_counted_strings(contexts(docs, length, hot), length))
-        some = staged(some, "repeated")
-        parts.append(keyed.join(some.hint("merge"), ["h", "x", "y"]).select("k", "g", (F.col("p") - F.col("far")).alias("lo"), (F.col("p") - F.col("near") + length).alias("hi")))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _cut(text: bytes, spans: np.ndarray) -> bytes:
+    parts.append(places.filter("total > 1").select("k", "g", "lo", (F.col("hi") + length).alias("hi")))
+    hot = F.col("contexts") > _most_in_a_shard(several)
+    one = places.filter("contexts > 1").withColumn("hot", hot).drop("total", "contexts").dropDuplicates(["h", "x", "y"])
+    bodies = staged(contexts(docs, staged(one, "one"), length), "bodies")
+    some = _sorted_shards(bodies.filter("not hot"), length)
+    if not several.filter(hot).isEmpty():
+        some = some.unionByName(_counted_strings(bodies.filter("hot"), length))
+    some = staged(some, "repeated")
+    parts.append(places.join(some.hint("merge"), ["h", "x", "y"]).select("k", "g", (F.col("p") - F.col("far")).alias("lo"), (F.col("p") - F.col("near") + length).alias("hi")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _left(text: bytes, spans: np.ndarray) -> list[bytes]:
+    """What stands before, between and after the spans."""
     out, at = [], 0
     for a, b in spans.tolist():
         out.append(text[at:a])
         at = b
-    return b"".join([*out, text[at:]])
+    return [*out, text[at:]]
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -394,40 +377,48 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): a row per document.
+    """(doc_id, n_bytes, n_removed, spans, kept, text): a row per document.
 
     docs: doc_id and text; other columns are not looked at. spans: the maximal runs [start, end) of bytes removed from
-    the UTF-8 text; kept: the rest, joined (it may begin or end inside a character). Strings are judged on the input,
-    overlaps and a document's own repeats count, and matches never cross documents. A null text is empty; one shorter
-    than ``length`` stays. Rows repeated with equal id and text repeat each other. An empty table gives an empty
-    result. ``length`` is at least 32, an anchor.
+    the UTF-8 text; kept: the bytes left, joined (a run may begin or end inside a character); text: the same as
+    characters, without those that a run cuts in two. Strings are judged on the input, overlaps and a document's own
+    repeats count, and matches never cross documents. A null text is empty (its ``text`` stays null); one shorter than
+    ``length`` stays. A very long text is looked at STARTS places at a time and needs memory in proportion to its
+    bytes. Rows repeated with equal id and text repeat each other. An empty table gives an empty result. ``length`` is
+    at least 32, an anchor.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}, not {length}")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("g"))
-    parts = repeated_parts(rows, length).groupBy("k", "g").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    both = rows.join(staged(parts, "parts").hint("merge"), ["k", "g"], "left").select("doc_id", "text", "lo", "hi")
+    # as a set: rows repeated with equal id and text bring equal parts, which then cost one
+    parts = repeated_parts(rows, length).groupBy("k", "g").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
+    both = rows.join(staged(parts, "parts").hint("merge"), ["k", "g"], "left").select("doc_id", "text", "parts")
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, texts, los, his = columns(batch, "doc_id", "text", "lo", "hi")
-            spans, kept, sizes = [], [], []
-            for text, lo, hi in zip(utf8(texts), los, his, strict=True):
-                runs = merged(lo.values.to_numpy(), hi.values.to_numpy()) if lo.is_valid else np.empty((0, 2), np.int64)
-                spans.append([{"start": a, "end": b} for a, b in runs.tolist()])
-                kept.append(_cut(text, runs))
-                sizes.append(len(text))
-            n = np.array(sizes, np.int64)
-            gone = n - np.fromiter(map(len, kept), np.int64, len(kept))
-            yield pa.record_batch([doc_ids, pa.array(n), pa.array(gone), pa.array(spans, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
-
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
-
-
-#: The same for strings of 400 bytes; spans as their number, kept as its digest.
+            for k in range(0, len(batch), ROWS):
+                doc_ids, texts, parts = columns(batch.slice(k, ROWS), "doc_id", "text", "parts")
+                spans, kept, whole, sizes = [], [], [], []
+                for given, text, part in zip(texts, utf8(texts), parts, strict=True):
+                    runs = merged(*(part.values.field(end).to_numpy() for end in ("lo", "hi"))) if part.is_valid else np.empty((0, 2), np.int64)
+                    left = _left(text, runs)
+                    spans.append([{"start": a, "end": b} for a, b in runs.tolist()])
+                    kept.append(b"".join(left))
+                    whole.append("".join(x.decode(errors="ignore") for x in left) if given.is_valid else None)
+                    sizes.append(len(text))
+                n = np.array(sizes, np.int64)
+                gone = n - np.fromiter(map(len, kept), np.int64, len(kept))
+                values = [doc_ids, pa.array(n), pa.array(gone), pa.array(spans, spans_type), pa.array(kept, pa.binary()), pa.array(whole, pa.string())]
+                yield pa.record_batch(values, names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "text"])
+
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, text string")
+
+
+#: The same for strings of 400 bytes; spans as their number, kept as its digest. What a run leaves of a character that it
+#: cuts is taken off the ends of the pieces kept, in hexadecimal, before they become text.
 SQL = """
-with d as (select doc_id, encode(coalesce(text, '')) b, octet_length(encode(coalesce(text, ''))) n from documents),
+with d as (select doc_id, text, encode(coalesce(text, '')) b, octet_length(encode(coalesce(text, ''))) n from documents),
 w as (select doc_id, i, md5(array_slice(b, i, i + 399)) h from (select doc_id, b, unnest(generate_series(1, n - 399)) i from d where n >= 400)),
 r as (select doc_id, i from (select doc_id, i, count(*) over (partition by h) c from w) where c > 1),
 o as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end new from r),
@@ -435,9 +426,12 @@ g as (select doc_id, i, sum(new) over (partition by doc_id order by i) k from o)
 s as (select doc_id, k, min(i) a, max(i) + 399 z from g group by doc_id, k),
 f as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 a, a - 1 z from s
  union all select s.doc_id, max(z) + 1, any_value(n) from s join d on s.doc_id = d.doc_id group by s.doc_id),
-kept as (select f.doc_id, string_agg(hex(array_slice(b, f.a, f.z)), '' order by f.a) x from f join d on f.doc_id = d.doc_id where f.z >= f.a group by f.doc_id),
+piece as (select f.doc_id, f.a, hex(array_slice(b, f.a, f.z)) x from f join d on f.doc_id = d.doc_id where f.z >= f.a),
+kept as (select doc_id, string_agg(x, '' order by a) x,
+ string_agg(regexp_replace(regexp_replace(x, '^([89AB].)+', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''), '' order by a) t from piece group by doc_id),
 cut as (select doc_id, count(*) spans, sum(z - a + 1) bytes from s group by doc_id)
 select d.doc_id, cast(n as bigint) n_bytes, cast(coalesce(bytes, 0) as bigint) n_removed, cast(coalesce(spans, 0) as bigint) n_spans,
- case when spans is null then sha256(b) else sha256(unhex(coalesce(x, ''))) end kept_sha256
+ case when spans is null then sha256(b) else sha256(unhex(coalesce(x, ''))) end kept_sha256,
+ case when spans is null then text else decode(unhex(coalesce(t, ''))) end text
 from d left join cut on d.doc_id = cut.doc_id left join kept on d.doc_id = kept.doc_id
 """

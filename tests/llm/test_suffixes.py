@@ -29,8 +29,11 @@ def brute(texts, length):
 def test_query_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((i, *b[:3], hashlib.sha256(b[3]).hexdigest()) for (i, _), b in zip(docs, brute([t.encode() for _, t in docs], 400), strict=True))
-    got = sorted(map(tuple, op6_suffix_dedup(spark, SMALL).collect()))
-    assert got == want and sum(w[2] for w in want) > 0
+    rows = op6_suffix_dedup(spark, SMALL).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == want and sum(w[2] for w in want) > 0
+    old = dict(docs)
+    for r in rows:
+        assert r["text"] == old[r["doc_id"]] if not r["n_removed"] else len(r["text"].encode()) <= r["n_bytes"] - r["n_removed"]
 
 
 def test_query_against_sql(spark):
@@ -65,8 +68,42 @@ def test_tangled_texts(spark, monkeypatch, length, shard, hot, starts):
         monkeypatch.setattr(suffixes, name, value)
     texts = tangled(random.Random(length), 150)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffixes.remove_repeats(df, length=length).collect())
+    rows = suffixes.remove_repeats(df, length=length).collect()
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in rows)
     assert got == [(i, *b) for i, b in enumerate(brute([t.encode() for t in texts], length))]
+    for r in rows:
+        raw, whole, at = texts[r["doc_id"]].encode(), [], 0
+        for a, b in [*((s["start"], s["end"]) for s in r["spans"]), (len(raw), len(raw))]:
+            whole.append(raw[at:a].decode(errors="ignore"))
+            at = b
+        assert r["text"] == "".join(whole)
+
+
+def test_starts_inside_documents():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        offsets = np.concatenate(([0], np.cumsum(rng.integers(0, 60, 8))))
+        n, length = int(offsets[-1]), int(rng.integers(1, 40))
+        want = np.zeros(n, bool)
+        for a, b in zip(offsets, offsets[1:], strict=False):
+            want[a : max(a, b - length + 1)] = True
+        lo, hi = sorted(rng.integers(0, n + 1, 2).tolist())
+        assert (suffixes._starts_inside(offsets, lo, hi, length) == want[lo:hi]).all()
+
+
+def test_rows_repeated_very_often(spark):
+    text = "".join(chr(97 + i * i % 26) + str(i) for i in range(200))
+    df = spark.range(3000).selectExpr("1L as doc_id", f"'{text}' as text")
+    got = suffixes.remove_repeats(df).groupBy("n_removed", "text").count().collect()
+    assert [tuple(r) for r in got] == [(len(text), "", 3000)]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    text = part + "".join(rng.choice("ijk") for _ in range(300_000)) + part
+    (row,) = suffixes.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row["n_bytes"], row["n_removed"], len(row["spans"]), row["text"]) == (700_000, 400_000, 2, text[200_000:500_000])
 
 
 def test_induced_order():
