@@ -25,8 +25,9 @@ class AggFunction:
 class Udaf:
     """A user aggregate in Python, as four steps over a state.
 
-    ``reduce(state, values)`` takes the values of one group in one Arrow batch as a pandas Series;
-    states are merged before and after the shuffle, so a hot key sends one state per task.
+    ``reduce(state, values)`` takes the values of one group in one Arrow batch as a pandas Series of the column's own
+    type, without NULLs (NaN takes part) and never empty; states are merged before and after the shuffle, so a hot key
+    sends one state per task. A group without values gives ``finish(zero())``.
     """
 
     name: str

@@ -5,9 +5,12 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from keyfold.functions.registry import Udaf
 
@@ -15,32 +18,58 @@ from keyfold.functions.registry import Udaf
 HELD_STATES = 100_000
 
 
+def groups_of(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in order of their group, and where in them each group begins. Keys hold no nulls."""
+    ids = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        coded = c.dictionary_encode()
+        ids = ids * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+        ids = np.unique(ids, return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    return order, np.flatnonzero(np.diff(ids[order], prepend=-1))
+
+
 def udaf_aggregate(rows: DataFrame, keys: list[str], column: str, f: Udaf, output: str) -> DataFrame:
-    """One row per key: the keys and ``output``."""
+    """One row per key: the keys and ``output``.
+
+    Batches stay Arrow, so that a column keeps its type: a bigint beside a NULL is no double, and NaN is no NULL.
+    NULLs are taken out before ``reduce``; a group that has nothing else gives ``finish(zero())``.
+    """
     key_fields = [rows.schema[k] for k in keys]
+    key_types = [to_arrow_type(x.dataType) for x in key_fields]
+    result_type = to_arrow_type(f.returns)
+    # adding 0 makes -0.0 and 0.0 one key, which the grouping of Python functions does not do by itself
+    one_zero = [(F.col(x.name) + F.lit(0.0).cast(x.dataType)).alias(x.name) if isinstance(x.dataType, (T.FloatType, T.DoubleType)) else F.col(x.name) for x in key_fields]
     partial_schema = T.StructType([*key_fields, T.StructField("state", T.BinaryType())])
 
-    def sent(states: dict) -> pd.DataFrame:
-        return pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*keys, "state"])
+    def sent(states: dict) -> pa.RecordBatch:
+        held = [pa.array(c, t) for c, t in zip(zip(*states, strict=True), key_types, strict=True)]
+        return pa.record_batch([*held, pa.array([pickle.dumps(s) for s in states.values()], pa.binary())], names=[*keys, "state"])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict = {}
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False, dropna=False):
-                states[key] = f.reduce(states[key] if key in states else f.zero(), part[column])
+            *held, values = batch.columns
+            order, starts = groups_of(held)
+            names = [c.take(pa.array(order[starts])).to_pylist() for c in held]
+            sorted_values = values.take(pa.array(order))
+            for *key, start, end in zip(*names, starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+                part, key = sorted_values.slice(start, end - start).drop_null(), tuple(key)
+                state = states[key] if key in states else f.zero()
+                states[key] = f.reduce(state, part.to_pandas()) if len(part) else state
             if len(states) > HELD_STATES:
                 yield sent(states)
                 states = {}
         if states:
             yield sent(states)
 
-    def merged(key: tuple, states: pd.DataFrame) -> pd.DataFrame:
+    def merged(key: tuple[pa.Scalar, ...], states: pa.Table) -> pa.Table:
         """States of a key are few: one per task and flush."""
         total = f.zero()
-        for state in states["state"]:
+        for state in states.column("state").to_pylist():
             total = f.merge(total, pickle.loads(state))
-        return pd.DataFrame([(*key, f.finish(total))], columns=[*keys, output])
-
-    states = rows.select(*keys, column).mapInPandas(partial, partial_schema)
-    return states.groupBy(*keys).applyInPandas(merged, T.StructType([*key_fields, T.StructField(output, f.returns)]))
+        held = [pa.array([k.as_py()], t) for k, t in zip(key, key_types, strict=True)]
+        return pa.table([*held, pa.array([f.finish(total)], result_type)], names=[*keys, output])
 
+    states = rows.select(*one_zero, column).mapInArrow(partial, partial_schema)
+    return states.groupBy(*keys).applyInArrow(merged, T.StructType([*key_fields, T.StructField(output, f.returns)]))

@@ -63,6 +63,39 @@ def _udaf(spark: SparkSession, d: str) -> DataFrame:
     return keyed_aggregate(table(spark, d, "lineitem"), "l_returnflag", "range(l_quantity)")
 
 
+#: Values above 2^53, odd ones among them, where a double would round; every tenth is NULL.
+_LARGE = "case when l_partkey % 10 = 0 then null else 9007199254740992 + l_orderkey * 10 + l_linenumber end"
+
+
+def _udaf_large(spark: SparkSession, d: str) -> DataFrame:
+    register(
+        Udaf(
+            "largest",
+            zero=lambda: None,
+            reduce=lambda s, v: int(v.max()) if s is None else max(s, int(v.max())),
+            merge=lambda s, t: t if s is None else s if t is None else max(s, t),
+            finish=lambda s: s,
+            returns=T.LongType(),
+        )
+    )
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", F.expr(_LARGE).alias("v"))
+    return keyed_aggregate(rows, "largest(v)", "max(v)", "count(v)", "l_returnflag", "l_orderkey", dims=["l_orderkey"])
+
+
+def _udaf_nan(spark: SparkSession, d: str) -> DataFrame:
+    register(
+        Udaf(
+            "tally",
+            zero=lambda: (0, 0),
+            reduce=lambda s, v: (s[0] + len(v), s[1] + int(v.isna().sum())),
+            merge=lambda s, t: (s[0] + t[0], s[1] + t[1]),
+            finish=lambda s: s[0] * 1_000_000 + s[1],
+            returns=T.LongType(),
+        )
+    )
+    return keyed_aggregate(derived_cells(spark, d), "tally(c)", "count(c)", "i", dims=["i"])
+
+
 def _uniq(spark: SparkSession, d: str) -> DataFrame:
     return keyed_aggregate(table(spark, d, "lineitem"), "l_returnflag", "count(*)").select("l_returnflag")
 
@@ -173,6 +206,14 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
         _udaf,
         "select l_returnflag, max(l_quantity)-min(l_quantity) l_quantity_range from lineitem where l_returnflag is not null group by 1",
     ),
+    "udaf_bigint_with_nulls": (
+        _udaf_large,
+        f"select l_returnflag, l_orderkey, max(v) v_largest, max(v) v_max, count(v) v_count from (select l_returnflag, l_orderkey, {_LARGE} v from lineitem) t where l_returnflag is not null and l_orderkey is not null group by 1,2",
+    ),
+    "udaf_double_with_nan": (
+        _udaf_nan,
+        f"select i, count(c) * 1000000 + count(case when isnan(c) then 1 end) c_tally, count(c) c_count from {FOO} where i is not null group by 1",
+    ),
     "group_after_join": (
         _join_then_group,
         "select o_orderpriority, cast(sum(l_linenumber) as bigint) l_linenumber_sum, count(*) count from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority is not null group by 1",

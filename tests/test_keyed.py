@@ -99,6 +99,18 @@ def test_registered_function_and_python_aggregate_mix(spark):
     assert got == {"a": (4, 4, 2), "b": (0, 0, 1)}
 
 
+def test_python_aggregate_keeps_types_and_tells_nan_from_null(spark, edge):
+    register(Udaf("tops", lambda: None, lambda s, v: max([int(v.max())] + [s] * (s is not None)), lambda s, t: max([x for x in (s, t) if x is not None], default=None), lambda s: s, T.LongType()))
+    big = 2**53
+    df = spark.createDataFrame([("a", big + 1), ("a", None), ("b", big + 3), ("c", None)], "k string, v long").coalesce(1)
+    assert {r[0]: tuple(r)[1:] for r in keyed_aggregate(df, "k", "tops(v)", "max(v)").collect()} == {"a": (big + 1,) * 2, "b": (big + 3,) * 2, "c": (None, None)}
+    register(Udaf("present", lambda: 0, lambda s, v: s + len(v), lambda s, t: s + t, lambda s: s, T.LongType()))
+    got = {r[0]: tuple(r)[1:] for r in keyed_aggregate(edge, "c", "present(v)", "count(v)").collect()}
+    assert got == {0.0: (2, 2), 2.0: (0, 0), 7.0: (2, 2)}  # 0.0 and -0.0 are one key, NaN is a value
+    df = spark.createDataFrame([(NAN,), (None,), (1.0,)], "v double").select(F.lit("k").alias("k"), "v")
+    assert [tuple(r) for r in keyed_aggregate(df, "k", "present(v)", "count(v)").collect()] == [("k", 2, 2)]
+
+
 def test_seeded_cells_keep_the_published_proportions(spark):
     n = 20_000
     i = F.col("i")
