@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import components, forest, in_blocks, splitmix, staged, whole_buckets
+from keyfold.llm.shared import columns, components, forest, in_blocks, last_staged, splitmix, staged, staged_folders, whole_buckets
 
 #: Rows of a bucket that meet in one task; larger buckets are cut into blocks, and each pair of blocks is a task's work.
 BLOCK = 512
@@ -64,27 +64,35 @@ def _pieces(at: np.ndarray, n: int = 1024) -> list[np.ndarray]:
 
 
 def _hashed(nodes: DataFrame, t: Tables) -> DataFrame:
-    """A row per vector and table: key, node, weight, label, the codes of all tables, and the vector."""
+    """(node, codes, keys): a vector's code in each table, as 4 bytes each, and as keys that name table and code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, label, weight, vectors = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "label", "weight", "vector"))
-            offsets = vectors.offsets.to_numpy()
-            sizes, flat = np.diff(offsets), vectors.values.to_numpy(zero_copy_only=False)
+            node, label, vectors = columns(batch, "node", "label", "vector")
+            offsets, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+            sizes = np.diff(offsets)
             for at in (part for dim in np.unique(sizes) for part in _pieces(np.flatnonzero(sizes == dim))):
-                dim = sizes[at[0]]
-                x = flat[offsets[at][:, None] + np.arange(dim)].astype(np.float64)
+                x = flat[offsets[at][:, None] + np.arange(sizes[at[0]])].astype(np.float64)
                 codes = _codes(normalised(x), label.to_numpy()[at], t)
-                which = pa.array(at)
-                fixed = [node.take(which), label.take(which), weight.take(which), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())]
-                for k in range(t.tables):
-                    key = (np.int64(k) << np.int64(32)) | codes[:, k].astype(np.int64)
-                    yield pa.record_batch([pa.array(key), *fixed], names=["key", "node", "label", "weight", "codes", "vector"])
+                keys = (np.arange(t.tables, dtype=np.int64) << np.int64(32)) | codes.astype(np.int64)
+                held = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), t.tables).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([node.take(pa.array(at)), pa.array([r.tobytes() for r in codes], pa.binary()), held], names=["node", "codes", "keys"])
 
-    return nodes.mapInArrow(run, "key long, node long, label long, weight long, codes binary, vector binary")
+    return nodes.mapInArrow(run, "node long, codes binary, keys array<long>")
 
 
-def _meet(rows: DataFrame, t: Tables, cosine: float) -> DataFrame:
+def _members(nodes: DataFrame, t: Tables) -> DataFrame:
+    """A row per vector and bucket that it shares with others: key, node, n (rows of the bucket), label, weight, the codes
+    of the tables before this one, and the vector. Buckets are counted before any vector is moved."""
+    coded = staged(_hashed(nodes.select("node", "label", "vector"), t), "codes")
+    each = coded.select("node", F.explode("keys").alias("key"))
+    sizes = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    whole = nodes.select("node", "label", "weight", "vector").join(coded.select("node", "codes"), "node")
+    earlier = F.substring("codes", F.lit(1), (F.shiftright("key", 32) * 4).cast("int"))
+    return each.join(sizes, "key").join(whole, "node").withColumn("codes", earlier)
+
+
+def _meet(rows: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): links a-b as a forest per bucket, and with b null the number of vectors that a links to.
 
     A pair counts in the first table in which it meets; so counts add up, and no pair is ever sent.
@@ -92,17 +100,17 @@ def _meet(rows: DataFrame, t: Tables, cosine: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, starts, sizes in whole_buckets(batches):
-            node, label, weight, side, key = (found.column(c).to_numpy() for c in ("node", "label", "weight", "side", "key"))
-            codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), np.uint32).reshape(len(found), -1)
-            raw = found.column("vector").to_pylist()
+            node, label, weight, side = (found.column(c).to_numpy() for c in ("node", "label", "weight", "side"))
+            codes, vectors = found.column("codes").to_pylist(), found.column("vector").combine_chunks()
+            offsets, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+            dims = np.diff(offsets)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for g in np.flatnonzero(sizes > 1):
                 s = slice(starts[g], starts[g] + sizes[g])
-                dims = np.array([len(v) for v in raw[s]])
                 near = np.zeros((sizes[g], sizes[g]), bool)
-                for dim in np.unique(dims):
-                    at = np.flatnonzero(dims == dim)
-                    x = normalised(np.frombuffer(b"".join(raw[starts[g] + i] for i in at), np.float64).reshape(len(at), -1))
+                for dim in np.unique(dims[s]):
+                    at = np.flatnonzero(dims[s] == dim)
+                    x = normalised(flat[offsets[s][at][:, None] + np.arange(dim)].astype(np.float64))
                     near[np.ix_(at, at)] = x @ x.T >= cosine
                 near &= label[s][:, None] == label[s][None, :]
                 if side[s][0] != 2:
@@ -110,9 +118,9 @@ def _meet(rows: DataFrame, t: Tables, cosine: float) -> DataFrame:
                 a, b = np.nonzero(np.triu(near, 1))
                 if not len(a):
                     continue
-                table = int(key[s][0] >> 32)
-                if table:
-                    before = (codes[s][a, :table] == codes[s][b, :table]).any(axis=1)
+                if codes[starts[g]]:
+                    earlier = np.frombuffer(b"".join(codes[s]), np.uint32).reshape(sizes[g], -1)
+                    before = (earlier[a] == earlier[b]).any(axis=1)
                     a, b = a[~before], b[~before]
                 n = np.bincount(a, weight[s][b], sizes[g]) + np.bincount(b, weight[s][a], sizes[g])
                 has = np.flatnonzero(n)
@@ -138,7 +146,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: Tables
     a count. A null vec_id is never the smallest; it is kept if nothing it links to has an id. Repeated rows are
     copies of each other. An empty table gives an empty result.
     """
-    t = tables or Tables()
+    t, before = tables or Tables(), staged_folders()
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(
         "vec_id",
@@ -150,7 +158,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: Tables
     )
     classes = rows.filter("usable").groupBy("label", "h", "g").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("low"))
     nodes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = staged(_meet(_hashed(nodes.select("node", "label", "weight", "vector"), t), t, cosine), "meetings")
+    found = staged(_meet(_members(nodes, t), cosine), "meetings")
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     label = components(found.filter("b is not null").select("a", "b"))
     named = nodes.select("node", "label", "h", "g", "weight", "low").join(counts, "node", "left").join(label, "node", "left")
@@ -159,6 +167,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: Tables
     named = named.join(low, "component").select(
         F.lit(True).alias("usable"), "label", "h", "g", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"
     )
+    named = last_staged(named, "components", before)
     out = rows.select("vec_id", "usable", "label", "h", "g").join(named, ["usable", "label", "h", "g"], "left")
     component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")).withColumn(

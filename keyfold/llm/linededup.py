@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import WORD, staged, wrapped
+from keyfold.llm.shared import WORD, last_staged, staged, staged_folders, wrapped
 
 WINDOW = 3
 
@@ -54,7 +54,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     go is empty. Windows without a word (three blank or white-space lines) are exempt: they stay however often they
     occur. An empty table gives an empty result.
     """
-    cut = staged(later_windows(docs), "cuts").withColumnRenamed("doc_id", "id")
+    before = staged_folders()
+    cut = last_staged(later_windows(docs), "cuts", before).withColumnRenamed("doc_id", "id")
     # a merge join at any size: cuts grow with the corpus, and the plan should not change on the way
     keyed = wrapped(docs, "doc_id", F.xxhash64("text").alias("own"))
     both = keyed.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("t")), "left")

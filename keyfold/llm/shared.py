@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,28 +20,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets one of its
+    own; anything else is an error, as each executor would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
+    if folder:
+        return folder
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keyfold-"))
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
 
 
-_made: list[str] = []
+_here = threading.local()
+_everywhere: dict[str, SparkSession] = {}
+
+
+def _made() -> list[str]:
+    """Folders of this thread: what one thread drops, another never reads."""
+    if not hasattr(_here, "made"):
+        _here.made = []
+    return _here.made
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    _made.append(f"{shared_folder(spark)}/keyfold-{what}-{uuid.uuid4().hex}")
-    return _made[-1]
+    folder = f"{shared_folder(spark)}/keyfold-{what}-{uuid.uuid4().hex}"
+    _made().append(folder)
+    _everywhere[folder] = spark
+    return folder
 
 
 def staged_folders() -> list[str]:
-    """What this process has staged and not dropped."""
-    return list(_made)
+    """What this thread has staged and not dropped."""
+    return list(_made())
 
 
 def drop_staged(spark: SparkSession, folders: list[str]) -> None:
@@ -46,16 +64,37 @@ def drop_staged(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-        _made.remove(folder)
+        _everywhere.pop(folder, None)
+        if folder in _made():
+            _made().remove(folder)
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Written once to the shared folder and read from there: lineage ends, and no executor's loss undoes it."""
+@atexit.register
+def _drop_all() -> None:
+    """What results still read from goes with the process."""
+    for folder, spark in list(_everywhere.items()):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            if spark.sparkContext._jsc is not None:
+                drop_staged(spark, [folder])
+
+
+def staged(df: DataFrame, what: str, *, instead_of: Sequence[str] | None = None) -> DataFrame:
+    """Written once to the shared folder and read from there: lineage ends, and no executor's loss undoes it.
+
+    instead_of: folders that have then served; they are dropped.
+    """
     folder = new_folder(df.sparkSession, what)
     df.write.parquet(folder)
+    if instead_of is not None:
+        drop_staged(df.sparkSession, list(instead_of))
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def last_staged(df: DataFrame, what: str, before: Sequence[str]) -> DataFrame:
+    """As ``staged``, when nothing that was staged since ``before`` is needed any more."""
+    return staged(df, what, instead_of=[f for f in staged_folders() if f not in before])
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
@@ -95,11 +134,15 @@ def in_blocks(rows: DataFrame, member: str, block: int) -> DataFrame:
     """Rows with a ``key``, dealt out so that rows of equal key meet, sorted by (key, i, j).
 
     A key with more than ``block`` rows is cut into blocks by a hash of ``member``, and every pair of blocks (i, j) is
-    work of its own. ``side`` is 2 where i = j, else 0 or 1 by block: rows of the same side meet elsewhere.
+    work of its own. ``side`` is 2 where i = j, else 0 or 1 by block: rows of the same side meet elsewhere. Where rows
+    have a column ``n``, it says how many rows their key has; else they are counted first.
     """
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    large = staged(size.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
-    rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if "n" in rows.columns:
+        rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    else:
+        size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+        large = staged(size.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
+        rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -155,7 +198,7 @@ def components(links: DataFrame) -> DataFrame:
     the other side. Links with a null end and links of a node to itself say nothing.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct()
-    edges, before = staged(edges, "links"), None
+    before, own, edges = None, staged_folders(), staged(edges, "links")
     while True:
         if (now := _digest(edges)) == before or not now[0]:
             return _labels(edges)
@@ -165,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        edges = staged(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "links")
+        edges = last_staged(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "links", own)
 
 
 def _digest(edges: DataFrame) -> tuple:

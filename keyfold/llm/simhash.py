@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import columns, components, in_blocks, splitmix, staged, unwrapped, utf8, whole_buckets, wrapped
+from keyfold.llm.shared import columns, components, in_blocks, last_staged, splitmix, staged, staged_folders, unwrapped, utf8, whole_buckets, wrapped
 
 BITS = 64
 #: Shingles counted at a time, so that a very long text needs no more memory than a short one.
@@ -434,6 +434,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, pr
     group with no other has a null component_id. Rows repeat as given. An empty table gives an empty result.
     """
     rows = staged(fingerprints(docs, shingle=shingle, prints=prints), "fingerprints")
+    before = staged_folders()
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
     fps = ["fp", *(f"fp{r}" for r in range(1, prints))]
     same = fps if similarity is None else [*fps, "t"]
@@ -456,15 +457,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, distance: int = 10, pr
     label = label.withColumnRenamed("node", "of")
     named = staged(nodes.join(label, F.col("node") == F.col("of"), "left").select(*same, "first", F.coalesce("component", "node").alias("component")), "labels")
     first = named.groupBy("component").agg(F.min("first").alias("first"))
-    named = named.drop("first").join(first, "component").select(*same, "first")
+    named = last_staged(named.drop("first").join(first, "component").select(*same, "first"), "components", before)
     return rows.join(named, same).select("doc_id", "t", "fp", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, all columns as they are."""
+    before = staged_folders()
     kept = near_duplicates(docs, **options).filter("kept").select("doc_id", "t").distinct()
     key = lambda t: (F.xxhash64(F.lit(1), F.col("doc_id").cast("bigint"), t).alias("k"), F.hash(F.lit(1), F.col("doc_id").cast("bigint"), t).alias("g"))
-    kept = staged(kept.select(*key(F.col("t"))), "kept")
+    kept = last_staged(kept.select(*key(F.col("t"))), "kept", before)
     keyed = wrapped(docs, "doc_id", "text").select("row", *key(F.coalesce(F.xxhash64("text"), F.lit(0))))
     first = F.row_number().over(Window.partitionBy("k", "g").orderBy(F.lit(1)))  # of rows equal in id and text
     out = keyed.join(kept.hint("merge"), ["k", "g"], "left_semi").withColumn("n", first).filter("n = 1")

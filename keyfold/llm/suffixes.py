@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import columns, splitmix, staged, utf8
+from keyfold.llm.shared import columns, last_staged, splitmix, staged, staged_folders, utf8
 
 #: Bytes in an anchor; string starts looked at together (they fit a cache); contexts sorted together; contexts that one
 #: anchor may bring to a shard (twice the fair share of a shuffle partition, but inside these bounds); strings of an
@@ -389,10 +389,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
     """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}, not {length}")
+    before = staged_folders()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("g"))
     # as a set: rows repeated with equal id and text bring equal parts, which then cost one
     parts = repeated_parts(rows, length).groupBy("k", "g").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
-    both = rows.join(staged(parts, "parts").hint("merge"), ["k", "g"], "left").select("doc_id", "text", "parts")
+    both = rows.join(last_staged(parts, "parts", before).hint("merge"), ["k", "g"], "left").select("doc_id", "text", "parts")
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
