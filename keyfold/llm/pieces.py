@@ -3,14 +3,15 @@
 At each byte the automaton's state names the longest piece that ends there, and output links name the shorter ones;
 each of them relaxes the best score at that place. Pieces hold the word mark only at their beginning, so a text falls
 into chunks (word marks and what follows) that are encoded on their own; many chunks move through the automaton side by
-side, and chunks met before are looked up.
+side, a few wide ones a byte at a time, and chunks met before are looked up.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -31,13 +32,19 @@ REMEMBERED = 300_000
 PLACES = 1 << 21
 #: What a character without a piece costs, below the worst piece.
 UNKNOWN = 10.0
+#: Chunks of similar width that are worth moving side by side; fewer are walked one by one, which takes less time.
+TOGETHER = 48
+#: Chunks of over so many bytes are not remembered.
+LONGEST_KNOWN = 1 << 12
+#: Where scores are merge ranks, a piece of rank r counts as the logarithm of 1 / (r + this), as in the law of Zipf and Mandelbrot.
+RANK_SHIFT = 2.7
 _CHUNK = re.compile(rb" +[^ ]*")
 
 
 class Pieces:
     """The automaton. States are prefixes of pieces; state 0 is the empty one."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, ranks: bool = False):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.vocab_size()
         self.raw: list[bytes] = [b""] * n
@@ -50,7 +57,7 @@ class Pieces:
                 self.byte_id[self.raw[i][0]] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.raw[i] = text.encode().replace(MARK, b" ")
-                pieces.append((text.encode(), i, sp.get_score(i)))
+                pieces.append((text.encode(), i, -np.log(RANK_SHIFT - sp.get_score(i)) if ranks else sp.get_score(i)))
         if not self.byte_id.any():
             raise ValueError("the model has no byte pieces, without which not every text can be encoded")
         self.by_chunk = not any(MARK in re.sub(rb"^(?:%s)+" % MARK, b"", p) for p, _, _ in pieces)
@@ -133,6 +140,45 @@ class Pieces:
             at[rows] -= step
         return [ids[r, used[r] :].tobytes() for r in range(n)]
 
+    @cached_property
+    def _plain(self) -> tuple[memoryview, list[int], list[int], list[int], list[float]]:
+        """The tables for one step at a time; ``first`` is the state or output link at which a piece ends."""
+        first = np.where(self.piece >= 0, np.arange(len(self.piece)), self.link)
+        return memoryview(self.next.ravel()), first.tolist(), self.link.tolist(), self.length.tolist(), self.score.tolist()
+
+    def _viterbi_alone(self, text: bytes) -> bytes:
+        """The same for one chunk. Best scores are kept only as far back as pieces reach."""
+        step, first, link, length, score = self._plain
+        ring = 1 << int(max(self.length.max(), 4)).bit_length()
+        mask, best = ring - 1, [0.0] * ring
+        back, which = array("i", bytes(4 * (len(text) + 1))), array("i", bytes(4 * (len(text) + 1)))
+        state, char_from, unknown, none = 0, 0, self.unknown, -np.inf
+        for j, byte in enumerate(text, 1):
+            state = step[state << 8 | byte]
+            if byte & 0xC0 != 0x80 and byte != 0xFE and byte != 0xFD:
+                char_from = j - 1
+            top, far, end, o = none, 0, 0, first[state]
+            while o:
+                s = best[(j - length[o]) & mask] + score[o]
+                if s > top:
+                    top, far, end = s, length[o], o
+                o = link[o]
+            after = text[j] if j < len(text) else 0
+            if after & 0xC0 != 0x80 and after != 0xFE and after != 0xFD:
+                s = best[char_from & mask] + unknown
+                if s > top:
+                    top, far, end = s, j - char_from, 0
+            best[j & mask], back[j], which[j] = top, far, end
+        out, j, piece = array("i"), len(text), self.piece.tolist()
+        while j:
+            if which[j]:
+                out.append(piece[which[j]])
+            else:
+                out.extend(int(self.byte_id[_REAL.get(b, b)]) for b in reversed(text[j - back[j] : j]))
+            j -= back[j]
+        out.reverse()
+        return out.tobytes()
+
     def _learn(self, chunks: set[bytes]) -> None:
         todo = sorted(chunks, key=len)
         at = 0
@@ -143,19 +189,22 @@ class Pieces:
                 few += 1
             batch = todo[at:few]
             marked = [c.replace(MARK, LITERAL).replace(b" ", MARK) for c in batch]
-            self.known.update(zip(batch, self._viterbi(marked), strict=True))
+            self.known.update(zip(batch, self._viterbi(marked) if len(batch) >= TOGETHER else map(self._viterbi_alone, marked), strict=True))
             at = few
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text. An empty text has none; others begin as if a space stood before them."""
         parts = [(_CHUNK.findall(b" " + t) if self.by_chunk else [b" " + t]) if t else [] for t in texts]
-        new = {c for p in parts for c in p}
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if new := new - self.known.keys():
-            self._learn(new)
+        new = {c for p in parts for c in p} - self.known.keys()
+        self._learn(new)
         known = self.known
-        return [np.frombuffer(b"".join([known[c] for c in p]), np.int32) for p in parts]
+        ids = [np.frombuffer(b"".join([known[c] for c in p]), np.int32) for p in parts]
+        for c in new:
+            if len(c) > LONGEST_KNOWN:
+                del known[c]
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         raw = self.raw
@@ -163,28 +212,32 @@ class Pieces:
 
 
 @lru_cache(maxsize=1)
-def load(model: bytes) -> Pieces:
+def load(model: bytes, ranks: bool = False) -> Pieces:
     """Built once in each Python worker."""
-    return Pieces(model)
+    return Pieces(model, ranks)
 
 
 #: Texts that are encoded together.
 TEXTS = 256
 
 
-def encode(docs: DataFrame, *, model: str, check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, *, model: str, ranks: bool = False, check: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids: array<int>, lossless): a row per document.
 
     docs: doc_id and text; other columns are not looked at. ``model``: a SentencePiece model with byte pieces and no
-    normalisation, read on the driver. A null text has null ids and 0 tokens, an empty one no ids. Characters without
-    a piece become their bytes, so ``decode`` gives every text back; with ``check``, lossless says that it did (null
-    text: true). Rows repeat as given; an empty table gives an empty result.
+    normalisation, read on the driver. Of a unigram model the ids are those of the SentencePiece library. A BPE model's
+    scores are merge ranks, whose sum says nothing; with ``ranks`` they count as logarithms of chances by rank
+    (RANK_SHIFT), and ids are the likeliest pieces, not those of merging. Of equal sums the one that ends in the longer
+    piece wins. A null text has null ids and 0 tokens, an empty one no ids. Characters without a piece become their
+    bytes, so ``decode`` gives every text back; with ``check``, lossless says that it did (null text: true). A very long
+    text takes time and memory in proportion to its bytes, with or without spaces. Rows repeat as given, extra columns
+    are not looked at; an empty table gives an empty result.
     """
     raw = Path(model).read_bytes()
     names = ["doc_id", "n_tokens", "ids", "lossless"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(raw)
+        pieces = load(raw, ranks)
         for whole in batches:
             for k in range(0, len(whole), TEXTS):
                 doc_ids, texts = columns(whole.slice(k, TEXTS), "doc_id", "text")

@@ -41,7 +41,7 @@ def op4_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.encode(_table(spark, d, "documents"), model=f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.encode(_table(spark, d, "documents"), model=f"{TOKENIZERS}/piece_bpe_32k.model", ranks=True)
 
 
 def op6_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
