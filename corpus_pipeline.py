@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document."""
-    return pieces.encode(docs, model=f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.encode(docs, model=f"{TOKENIZERS}/piece_bpe_32k.model", ranks=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
