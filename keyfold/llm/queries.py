@@ -21,10 +21,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, d: str) -> DataFrame:
-    ready = mixing.sized(_table(spark, d, "documents").select("doc_id", "text", "source"), seed=1)
+    ready = mixing.sized(_table(spark, d, "documents").select("doc_id", "text", "source"), power=0.25, seed=1)
     narrow = staged(ready.drop("text"), "sizes")
-    out = mixing.copies(narrow, mixing.plan(narrow, weights=(1, 2, 3), most=3.0))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    out = mixing.copies(narrow, mixing.plan(narrow, weights=(1, 2, 3), most=3.0), most=3.0)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "expected")
 
 
 def op2_simhash(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,10 +59,84 @@ def test_nulls_bounds_and_a_hot_source(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_inclusion_follows_the_odds(spark):
-    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
-    out = mixing.mix(df, boost=F.when(F.col("doc_id") % 2 == 0, 4.0), total=1000.0, seed=3)
-    even, odd = (out.filter(F.col("doc_id") % 2 == k).agg(F.sum("copies")).first()[0] for k in (0, 1))
-    assert even + odd == 1000
-    # odds 4:1 with 2000 documents each and 1000 places: p/(1-p) is four times q/(1-q) and p + q = 1/2
-    assert abs(even - 781) < 90
+def brute_expected(rows, want, most):
+    """rows: (id, source, size, measure, key). By source, how often each document is expected, solved by halving."""
+    for source in want:
+        mine = [r for r in rows if r[1] == source and r[2] > 0]
+        words = lambda f, mine=mine: sum(r[2] * min(most, f * r[3]) for r in mine)
+        low, high = 0.0, most / min((r[3] for r in mine), default=1.0)
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < want[source] else (low, mid)
+        yield source, {r[0]: min(most, high * r[3]) for r in mine}
+
+
+def test_taken_documents_are_recomputed(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40, 200])) + f" {i}", rng.choice(["a", "b", "b", "b", None])) for i in range(900)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    keys = {r["doc_id"]: (r["source"], r["size"], r["_measure"], r["_key"] % 2**64) for r in mixing.sized(df, power=0.5, seed=4).collect()}
+    out = {r["doc_id"]: r for r in mixing.mix(df, power=0.5, seed=4).collect()}
+    repeats = Counter(r[0] for r in rows)
+    sizes = Counter()
+    for i, n in repeats.items():
+        sizes[keys[i][0]] += n * keys[i][1]
+    want = brute_targets(sizes, (1, 2, 3), 3)
+    everyone = [(i, keys[i][0], n * keys[i][1], keys[i][2], keys[i][3]) for i, n in repeats.items()]
+    for source, expected in brute_expected(everyone, want, 3.0):
+        for i, c in expected.items():
+            assert out[i]["expected"] == pytest.approx(c, rel=0.01)
+        # from here with the operator's own expectations: certain copies, then random odds over inclusion odds
+        room, ranks, copies, place = want[source], [], {}, {}
+        for i, _, size, _, key in (r for r in everyone if r[1] == source and r[2] > 0):
+            whole = int(out[i]["expected"] + 1e-9)
+            p, u = out[i]["expected"] - whole, ((key >> 11) + 0.5) / 2**53
+            room -= whole * size
+            copies[i], place[i] = whole, (1, 0.0, key)
+            if p > 1e-9:
+                place[i] = (0, u / (1 - u) * (1 - p) / p, key)
+                ranks.append((place[i], i, size))
+        for _, i, size in sorted(ranks):
+            if size > room:
+                break
+            room -= size
+            copies[i], place[i] = copies[i] + 1, (1, *place[i][1:])
+        classes = {}
+        for i, _, size, _, key in (r for r in everyone if r[1] == source and r[2] > 0):
+            if size < 2 * room and copies[i] < 3:
+                classes[size.bit_length()] = min(classes.get(size.bit_length(), ((9,),)), (place[i], size, i))
+        left = sorted(((size, i) for _, size, i in classes.values()), reverse=True)
+        for size, i in list(left):
+            if size <= room:
+                room -= size
+                copies[i] += 1
+                left.remove((size, i))
+        off, i = min(((abs(room - size), i) for size, i in left), default=(room, None))
+        if off < room:
+            copies[i] += 1
+        assert copies == {i: out[i]["copies"] for i in copies} and max(copies.values()) <= 3
+
+
+def test_inclusion_follows_the_chances(spark):
+    """60 sources hold the same 600 documents, each with draws of its own: the share taken of a size is its chance, but for
+    the few documents that fill each source's gap."""
+    sizes, n = [1, 1, 2, 3, 5, 8, 13, 21, 34, 55] * 60, 60
+    rows = [(s * 1000 + k, " ".join(["w"] * size), f"{s:04}") for s in range(n) for k, size in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, power=0.5, weights=(1,), total=0.4 * n * sum(sizes), seed=2).groupBy("size")
+    rows = out.agg(F.avg("copies").alias("share"), F.min("expected").alias("low"), F.max("expected").alias("expected"), F.max("copies").alias("most")).collect()
+    assert len(rows) == 9 and sum(sizes.count(r["size"]) * r["size"] * r["expected"] for r in rows) == pytest.approx(0.4 * sum(sizes), rel=0.01)
+    for r in rows:
+        assert r["low"] == pytest.approx(r["expected"]) and r["expected"] == pytest.approx(rows[0]["expected"] * (r["size"] / rows[0]["size"]) ** 0.5)
+        assert r["most"] == 1 and abs(r["share"] - r["expected"]) < 0.03, r
+
+
+def test_measures_that_say_nothing_and_very_long_texts(spark):
+    rows = [(i, "x y z", "a", m) for i, m in enumerate([1.0, None, float("nan"), -1.0, 0.0, float("inf"), 1.0, 1.0] * 20)]
+    rows += [(1000, "long " * 200_000, "b", 1.0), (1001, "short", "b", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m double")
+    out = mixing.mix(df, measure=F.col("m"), weights=(1, 1), total=240.0 + 100.0)
+    a = out.filter("source = 'a'").agg(F.countDistinct(F.round("expected", 9)), F.sum(F.col("copies") * F.col("size"))).first()
+    assert a[0] == 1 and abs(a[1] - 170) <= 3
+    assert {r["doc_id"]: r["copies"] for r in out.filter("source = 'b'").collect()}[1000] == 0
