@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.explode_copies(mixing.mix(wrapped(docs, "doc_id", "text", "source"), weights=(1, 2, 3), most=3.0, seed=1))
+    mixed = mixing.explode_copies(mixing.mix(wrapped(docs, "doc_id", "text", "source"), weights=(1, 2, 3), most=3.0, power=0.25, seed=1))
     return mixed.select(*unwrapped(mixed))
 
 
