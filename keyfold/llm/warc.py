@@ -1,8 +1,9 @@
 """WARC records in ZIP-packaged archives: written one archive at a time, read by ranges without extraction.
 
-An archive is a ZIP file whose members are stored, not compressed: ``archive/data.warc.gz``, a gzip member per record,
-and ``indexes/index.cdxj``, a line per record with its offset and length there. A reader finds the members through the
-central directory (with its ZIP64 form) and then reads the ranges that the index names.
+An archive is a ZIP file whose members are stored, not compressed: WARC files below ``archive/``, by convention a gzip
+member per record, and CDXJ indexes below ``indexes/``, which name each record's file, offset and length. A reader finds
+the members through the central directory (with its ZIP64 form) and then reads the ranges that the indexes name; an
+archive without an index is walked through record by record. Archives that others wrote are read alike.
 """
 
 from __future__ import annotations
@@ -10,25 +11,30 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import staged
+from keyfold.llm.shared import columns, last_staged, staged, staged_folders
 
+#: What is written. Any WARC files and indexes in these folders are read.
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+_IS_DATA, _IS_INDEX = re.compile(r"archive/.+\.warc(\.gz)?"), re.compile(r"indexes/.+\.cdxj?(\.gz)?")
 #: An archive is closed beyond so many bytes; a range to read ends beyond so many.
 ARCHIVE_BYTES, RANGE_BYTES = 1 << 30, 4 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_ID = "urn:page:"
+#: Fields of our own, for what a page's row says and the format has no field for.
+PAGE, OF_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 
 
 def open_folder(uri: str) -> tuple[FileSystem, str]:
@@ -48,48 +54,102 @@ def _header_value(text: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in text)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A response with its payload, or a revisit of ``refers_to`` with the HTTP head only."""
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def target_of(page_id: int | None, url: str | None) -> str:
+    return _header_value(url) if url else f"urn:page:{'' if page_id is None else page_id}"
+
+
+def surt(url: str) -> str:
+    """The key that an index is sorted by: the host's labels from the top, then path and query, in lower case."""
+    parts = urlsplit(url)
+    if not parts.netloc:
+        return url.lower()
+    host, _, port = parts.netloc.rpartition("@")[2].lower().partition(":")
+    labels = re.sub(r"^www\d*\.", "", host).split(".")
+    port = f":{port}" if port and (parts.scheme.lower(), port) not in (("http", "80"), ("https", "443")) else ""
+    return f"{','.join(reversed(labels))}{port}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower()
+
+
+@dataclass(frozen=True)
+class Page:
+    page_id: int | None
+    url: str | None
+    payload: bytes
+    #: Page and target of the response that this one repeats, if it does.
+    refers_to: int | None = None
+    refers_url: str | None = None
+
+
+def record(page: Page, digest: str, date: str) -> bytes:
+    """A response with its payload, or a revisit with the HTTP head only."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(page.payload)}\r\n\r\n".encode()
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>",
+        f"WARC-Type: {'response' if page.refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {_header_value(url) if url else f'{_ID}{page_id}'}",
+        f"WARC-Target-URI: {target_of(page.page_id, page.url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
-    if refers_to is None:
-        block += payload
+    if page.page_id is not None:
+        head.append(f"{PAGE}: {page.page_id}")
+    if page.refers_to is None:
+        block += page.payload
     else:
-        head += [f"WARC-Refers-To: <{_ID}{refers_to}>", f"WARC-Profile: {REVISIT}"]
+        head += [f"WARC-Refers-To-Target-URI: {target_of(page.refers_to, page.refers_url)}", f"WARC-Refers-To-Date: {date}", f"WARC-Profile: {REVISIT}", f"{OF_PAGE}: {page.refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def index_line(page: Page, digest: str, date: str, offset: int, length: int) -> str:
+    target = target_of(page.page_id, page.url)
+    about = {
+        "url": target, "mime": "text/html" if page.refers_to is None else "warc/revisit", "status": "200", "digest": f"sha1:{digest}",
+        "length": str(length), "offset": str(offset), "filename": DATA.rpartition("/")[2],
+    }
+    return f"{surt(target)} {re.sub('[^0-9]', '', date)[:14]} {json.dumps(about)}\n"
+
+
 def parse_headers(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8").split("\r\n")[1:]
+    """Names in lower case; a line that begins with white space goes on with the one before it."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).splitlines()[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
 
 
-def _page_of(record_id: str) -> int | None:
-    tail = record_id.strip("<>").removeprefix(_ID)
-    return int(tail) if tail else None
+def _split(raw: bytes) -> tuple[bytes, bytes]:
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    return head, rest
 
 
-def parse_record(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of one record; a digest that is wrong raises."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch(r"-?[0-9]+", text) else None
+
+
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string"
+
+
+def parse_record(raw: bytes) -> tuple[int | None, int, str, str, int | None, str | None, str | None] | None:
+    """RECORD's values from one record, or None if it holds no page (warcinfo, request, metadata and so on).
+
+    A payload whose SHA-1 digest is not the one that the record states raises, unless it was stored as it was sent, in
+    chunks. A revisit has the size that its HTTP head tells, 0 without one.
+    """
+    head, rest = _split(raw)
     h = parse_headers(head)
-    http, _, payload = rest[: int(h["content-length"])].partition(b"\r\n\r\n")
-    said = h["warc-payload-digest"].removeprefix("sha1:")
-    page = _page_of(h["warc-record-id"])
-    if h["warc-type"] == "revisit":
-        return page, int(parse_headers(http)["content-length"]), said, "revisit", _page_of(h["warc-refers-to"])
-    if (found := payload_digest(payload)) != said:
-        raise ValueError(f"record {h['warc-record-id']}: its payload has digest {found}, its header says {said}")
-    return page, len(payload), found, "response", None
+    kind, block = h.get("warc-type"), rest[: int(h["content-length"])]
+    if kind not in ("response", "revisit", "resource"):
+        return None
+    http, payload = _split(block) if block.startswith(b"HTTP/") else (b"", block)
+    sent, said = parse_headers(http), h.get("warc-payload-digest", "")
+    known = said.partition(":")[2] if said.lower().startswith("sha1:") else None
+    beside = (_number(h.get(OF_PAGE.lower())), h.get("warc-record-id", "").strip("<>") or None, h.get("warc-target-uri", "").strip("<>") or None)
+    page = _number(h.get(PAGE.lower()))
+    if kind == "revisit":
+        return page, _number(sent.get("content-length")) or 0, known or "", "revisit", *beside
+    found = payload_digest(payload)
+    if known and len(known) == 32 and found != known and "chunked" not in sent.get("transfer-encoding", ""):
+        raise ValueError(f"record {h.get('warc-record-id')}: its payload has digest {found}, its header says {known}")
+    return page, len(payload), found, "response", *beside
 
 
 # --- ZIP -------------------------------------------------------------------------------------------------------------
@@ -167,6 +227,32 @@ class ZipRanges:
             yield self._at(at, min(n, left))
             at, left = at + min(n, left), left - min(n, left)
 
+    def lines(self, name: str) -> Iterator[bytes]:
+        """A member's lines, unpacked if it is gzip (of one or more members)."""
+        source = self.chunks(name)
+        if name.endswith(".gz"):
+            source = (data for data, _ in unpacked(source))
+        rest = b""
+        for chunk in source:
+            *whole, rest = (rest + chunk).split(b"\n")
+            yield from whole
+        yield rest
+
+
+def unpacked(chunks: Iterator[bytes], most: int = 1 << 20) -> Iterator[tuple[bytes, int]]:
+    """Pieces of what gzip members hold; beside the last piece of each, the packed bytes that end with it, else 0."""
+    unpack, used = zlib.decompressobj(31), 0
+    for chunk in chunks:
+        while chunk:
+            data = unpack.decompress(chunk, most)
+            left = unpack.unconsumed_tail or unpack.unused_data
+            used += len(chunk) - len(left)
+            yield data, used if unpack.eof else 0
+            if unpack.eof:
+                unpack = zlib.decompressobj(31)
+                left = left.lstrip(b"\0") if not left.strip(b"\0") else left
+            chunk = left
+
 
 def _zip64(extra: bytes, full: int, stored: int, where: int) -> tuple[int, int, int]:
     """Fields that are all ones stand in extra field 1, in this order, those alone."""
@@ -186,11 +272,23 @@ def _zip64(extra: bytes, full: int, stored: int, where: int) -> tuple[int, int,
 # --- writing ---------------------------------------------------------------------------------------------------------
 
 
-def _first_pages(pages: DataFrame, least: int) -> DataFrame:
-    """(d, n, low): payloads that several records share, and the smallest page_id of each."""
-    rows = pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("d"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"))
-    many = rows.filter(F.col("n") >= least).groupBy("d", "n").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("records"))
-    return staged(many.filter("records > 1").drop("records"), "payloads")
+def _revisits(pages: DataFrame, least: int) -> DataFrame:
+    """(key, refers_to, refers_url): which rows repeat the payload of a page with a smaller id, and that page.
+
+    Only ids and digests move here. Rows are keyed by id and payload, so that a payload that very many pages share is
+    not one key when texts are moved.
+    """
+    rows = pages.select("page_id", "url", F.sha1(F.coalesce("html", F.lit(""))).alias("d"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"))
+    many = rows.filter(F.col("n") >= least).groupBy("d", "n").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("records")).filter("records > 1")
+    named = staged(many.drop("records"), "payloads")
+    first = rows.join(named, ["d", "n"]).filter("page_id = low").groupBy("d", "n").agg(F.min("url").alias("low_url"))
+    again = rows.join(named, ["d", "n"]).filter(~F.col("page_id").eqNullSafe(F.col("low")) & F.col("low").isNotNull())
+    again = again.select("page_id", "d", "n", "low").distinct().join(first, ["d", "n"])
+    return again.select(_key(F.col("page_id"), F.col("d")).alias("key"), F.col("low").alias("refers_to"), F.col("low_url").alias("refers_url"))
+
+
+def _key(page_id: Column, digest: Column) -> Column:
+    return F.concat_ws("/", F.coalesce(page_id.cast("string"), F.lit("-")), digest)
 
 
 def write_archives(pages: DataFrame, folder: str, *, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -199,71 +297,113 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = 0, date: str =
     Every task writes archives of its own, under names never used before, and reports those it has closed; what a lost
     or repeated task leaves is in no manifest. Nulls of html are empty payloads, nulls of url have a URN instead.
     """
-    first = _first_pages(pages, least)
-    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("d"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"))
-    rows = rows.join(first, ["d", "n"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("low")), F.col("low")).alias("refers_to"))
+    before = staged_folders()
+    again = staged(_revisits(pages, least), "revisits")
+    rows = pages.select("page_id", "url", "html", _key(F.col("page_id"), F.sha1(F.coalesce("html", F.lit("")))).alias("key"))
+    rows = rows.join(again, "key", "left").select("page_id", "url", "html", "refers_to", "refers_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_folder(folder)
         fs.create_dir(top, recursive=True)
-        source = (tuple(v.as_py() for v in row) for b in batches for row in zip(*(b.column(b.schema.get_field_index(c)) for c in ("page_id", "url", "html", "refers_to")), strict=True))
-        row = next(source, None)
-        while row is not None:
-            name, n = f"{uuid.uuid4().hex}.zip", 0
-            index, at = [], 0
+        names = ("page_id", "url", "html", "refers_to", "refers_url")
+        source = (Page(i, u, (h or "").encode(), r, ru) for b in batches for i, u, h, r, ru in zip(*([v.as_py() for v in c] for c in columns(b, *names)), strict=True))
+        page = next(source, None)
+        while page is not None:
+            name, index, at = f"{uuid.uuid4().hex}.zip", [], 0
             with fs.open_output_stream(f"{top}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
                 with archive.open(DATA, "w", force_zip64=True) as data:
-                    while row is not None and at < ARCHIVE_BYTES:
-                        page_id, url, html, refers_to = row
-                        payload = (html or "").encode()
+                    while page is not None and at < ARCHIVE_BYTES:
+                        digest = payload_digest(page.payload)
                         pack = zlib.compressobj(4, zlib.DEFLATED, 31)
-                        packed = pack.compress(record(page_id, url, payload, payload_digest(payload), refers_to, date)) + pack.flush()
+                        packed = pack.compress(record(page, digest, date)) + pack.flush()
                         data.write(packed)
-                        index.append(json.dumps({"offset": at, "length": len(packed)}))
-                        at, n = at + len(packed), n + 1
-                        row = next(source, None)
-                archive.writestr(INDEX, "".join(f"{k} {line}\n" for k, line in enumerate(index)))
-            yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["archive", "records"])
+                        index.append(index_line(page, digest, date, at, len(packed)).encode())
+                        at += len(packed)
+                        page = next(source, None)
+                archive.writestr(INDEX, b"".join(sorted(index)))
+            yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([len(index)], pa.int64())], names=["archive", "records"])
 
-    return staged(rows.mapInArrow(run, "archive string, records long"), "manifest")
+    return last_staged(rows.mapInArrow(run, "archive string, records long"), "manifest", before)
 
 
 # --- reading ---------------------------------------------------------------------------------------------------------
 
 
-def read_ranges(archives: DataFrame) -> DataFrame:
-    """(archive, start, lengths): runs of adjacent records, from each archive's directory and index."""
+def _indexed(z: ZipRanges, indexes: list[str]) -> Iterator[tuple[int, int]]:
+    """Where each record that the indexes name begins in the archive, and its length."""
+    data = [m for m in z.members if _IS_DATA.fullmatch(m)]
+    base: dict[str, int] = {}
+    for name in indexes:
+        for line in z.lines(name):
+            if (at := line.find(b"{")) < 0 or line.startswith(b"!"):
+                continue
+            entry = json.loads(line[at:])
+            if "offset" not in entry or "length" not in entry:
+                continue
+            said = entry.get("filename")
+            member = next((m for m in (said, f"archive/{said}") if m in z.members), None) if said else data[0] if len(data) == 1 else None
+            if member is None:
+                raise ValueError(f"{name} names {said!r}, which the archive does not hold")
+            if member not in base:
+                base[member] = z.data_at(member)
+            yield base[member] + int(entry["offset"]), int(entry["length"])
+
+
+def _walked(z: ZipRanges) -> Iterator[tuple[int, int]]:
+    """The same without an index: gzip members one after the other, or records by their own lengths."""
+    for name in (m for m in z.members if _IS_DATA.fullmatch(m)):
+        base, size = z.data_at(name), z.members[name].size
+        if name.endswith(".gz"):
+            start = 0
+            for _, end in unpacked(z.chunks(name)):
+                if end:
+                    yield base + start, end - start
+                    start = end
+            continue
+        at = 0
+        while at < size:
+            head = z._at(base + at, min(1 << 16, size - at))
+            end = head.find(b"\r\n\r\n")
+            if end < 0:
+                break
+            length = end + 4 + int(parse_headers(head[:end])["content-length"]) + 4
+            yield base + at, min(length, size - at)
+            at += length
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                fs, path = open_folder(uri)
-                with fs.open_input_file(path) as source:
-                    z = ZipRanges(source)
-                    base, start, lengths, rest = z.data_at(DATA), None, [], b""
-                    for chunk in [*z.chunks(INDEX), b"\n"]:
-                        *lines, rest = (rest + chunk).split(b"\n")
-                        for line in filter(None, lines):
-                            entry = json.loads(line.partition(b" ")[2])
-                            if start is None or sum(lengths) >= RANGE_BYTES or start + sum(lengths) != base + entry["offset"]:
-                                if lengths:
-                                    yield _range(uri, start, lengths)
-                                start, lengths = base + entry["offset"], []
-                            lengths.append(entry["length"])
-                    if lengths:
-                        yield _range(uri, start, lengths)
 
-    return archives.select("archive").mapInArrow(run, "archive string, start long, lengths array<int>")
+def read_ranges(archives: DataFrame) -> DataFrame:
+    """(archive, start, lengths): runs of adjacent records, from each archive's directory and indexes."""
+
+    def runs(z: ZipRanges) -> Iterator[tuple[int, list[int]]]:
+        indexes = [m for m in z.members if _IS_INDEX.fullmatch(m)]
+        start, end, lengths = 0, -1, []
+        for at, n in sorted(set(_indexed(z, indexes) if indexes else _walked(z))):
+            if lengths and (at != end or end - start >= RANGE_BYTES):
+                yield start, lengths
+                lengths = []
+            start = start if lengths else at
+            lengths.append(n)
+            end = at + n
+        if lengths:
+            yield start, lengths
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri in (u for batch in batches for u in batch.column(0).to_pylist()):
+            fs, path = open_folder(uri)
+            with fs.open_input_file(path) as source:
+                for start, lengths in runs(ZipRanges(source)):
+                    yield pa.record_batch([pa.array([uri]), pa.array([start], pa.int64()), pa.array([lengths], pa.list_(pa.int64()))], names=["archive", "start", "lengths"])
 
-def _range(uri: str, start: int, lengths: list[int]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([uri]), pa.array([start]), pa.array([lengths], pa.list_(pa.int32()))], names=["archive", "start", "lengths"])
+    return archives.select("archive").mapInArrow(run, "archive string, start long, lengths array<long>")
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): a row per record of the archives named."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    """RECORD: a row per response, revisit or resource of the archives named.
+
+    page_id and refers_to are null in archives that others wrote; record_id and url are those of the record.
+    """
+    names = [f.split(" ")[0] for f in RECORD.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string()}[f.split(" ")[1]] for f in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,22 +412,25 @@ def read_records(archives: DataFrame) -> DataFrame:
                 with fs.open_input_file(path) as source:
                     raw, at, rows = source.read_at(sum(lengths), start), 0, []
                 for n in lengths:
-                    rows.append(parse_record(zlib.decompress(raw[at : at + n], 31)))
+                    one = raw[at : at + n]
+                    rows.append(parse_record(zlib.decompress(one, 31) if one[:2] == b"\x1f\x8b" else one))
                     at += n
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                if rows := [r for r in rows if r is not None]:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     ranges = read_ranges(archives).repartition(archives.sparkSession.sparkContext.defaultParallelism * 4)
-    return ranges.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return ranges.mapInArrow(run, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str, *, least: int = 0) -> DataFrame:
-    """Write ``pages`` below ``folder`` and read the records back.
+    """Write ``pages`` below ``folder`` and read the records back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     Of records with equal payloads of at least ``least`` bytes, that with the smallest page_id is the response and the
     others revisit it. Rows repeated with that page_id are responses too. A null page_id is never the smallest; if all
-    are null, all are responses. An empty table gives an empty result. Further columns are not looked at.
+    are null, all are responses. A very long payload is a record as it is. An empty table gives an empty result. Further
+    columns are not looked at.
     """
-    return read_records(write_archives(pages, folder, least=least))
+    return read_records(write_archives(pages, folder, least=least)).drop("record_id", "url")
 
 
 SQL = """

@@ -61,7 +61,67 @@ def test_zip64_directory():
 
 
 def test_a_wrong_digest_is_noticed():
-    raw = warc.record(1, "u", b"payload", warc.payload_digest(b"payload"), None, "2024-01-01T00:00:00Z")
+    raw = warc.record(warc.Page(1, "u", b"payload"), warc.payload_digest(b"payload"), "2024-01-01T00:00:00Z")
     assert warc.parse_record(raw)[:2] == (1, 7)
     with pytest.raises(ValueError, match="digest"):
         warc.parse_record(raw.replace(b"payload", b"pAyload"))
+
+
+def foreign(kind, body, uri, *more, http=b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"):
+    block = http + body
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:%08d>" % len(uri), b"WARC-Target-URI: " + uri, *more, b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("index", ["cdxj", "cdx.gz", None])
+def test_archives_that_others_wrote(spark, tmp_path, index):
+    """Two WARC files, one not packed; numbers as text; an index in gzip members, or none; records that are no pages."""
+    import gzip
+    import json
+
+    first = [foreign(b"warcinfo", b"about", b"i", http=b""), foreign(b"response", b"one", b"http://www.A.org/x"), foreign(b"revisit", b"", b"http://a.org/x?y", b"WARC-Payload-Digest: sha1:" + warc.payload_digest(b"one").encode())]
+    second = [foreign(b"request", b"GET", b"rq", http=b""), foreign(b"resource", b"plain", b"file:z", http=b""), foreign(b"response", b"3\r\nabc\r\n0\r\n\r\n", b"http://b.org", b"WARC-Payload-Digest: sha1:" + b"A" * 32, http=b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n")]
+    lines, data = [], {"first.warc.gz": [gzip.compress(r) for r in first], "second.warc": second}
+    for name, records in data.items():
+        at = 0
+        for r in records:
+            lines.append(f"key 2024 {json.dumps({'offset': str(at), 'length': str(len(r)), 'filename': name})}\n".encode())
+            at += len(r)
+    with zipfile.ZipFile(tmp_path / "other.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        for name, records in data.items():
+            z.writestr(f"archive/{name}", b"".join(records))
+        if index:
+            lines = [b"!meta 0 {}\n", *sorted(lines)]
+            z.writestr(f"indexes/{'index' if index == 'cdxj' else 'all'}.{index}", b"".join(gzip.compress(x) for x in lines) if "gz" in index else b"".join(lines))
+    got = warc.read_records(spark.createDataFrame([(f"file://{tmp_path}/other.zip",)], "archive string")).collect()
+    one = warc.payload_digest(b"one")
+    want = {
+        (None, 3, one, "response", None, "http://www.A.org/x"), (None, 0, one, "revisit", None, "http://a.org/x?y"),
+        (None, 5, warc.payload_digest(b"plain"), "response", None, "file:z"), (None, 13, warc.payload_digest(b"3\r\nabc\r\n0\r\n\r\n"), "response", None, "http://b.org"),
+    }
+    assert len(got) == 4 and {(*r[:5], r["url"]) for r in got} == want
+
+
+def test_written_indexes_and_ids(spark, tmp_path):
+    import json
+
+    rows = [(i, f"https://www.Example.com:8080/P{i % 3}?Q=1", "body" if i % 2 else f"own {i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    (m,) = warc.write_archives(df, f"file://{tmp_path}/w").collect()
+    with zipfile.ZipFile(m["archive"].removeprefix("file://")) as z:
+        assert z.namelist() == [warc.DATA, warc.INDEX] and not z.testzip()
+        lines, data = z.read(warc.INDEX).splitlines(), z.read(warc.DATA)
+    assert lines == sorted(lines) and len(lines) == 9
+    ids = set()
+    for line in lines:
+        key, date, about = line.decode().split(" ", 2)
+        about = json.loads(about)
+        assert key == warc.surt(about["url"]) and key.startswith("com,example:8080)/p") and date == "20240101000000" and about["filename"] == "data.warc.gz"
+        at, n = int(about["offset"]), int(about["length"])
+        raw = zlib.decompress(data[at : at + n], 31)
+        page = warc.parse_record(raw)
+        assert about["digest"] == f"sha1:{page[2]}" and page[6] == about["url"] and (b"\nWARC-Refers-To-Target-URI: https" in raw) == (page[3] == "revisit")
+        ids.add(page[5])
+    assert len(ids) == 9
+    assert warc.surt("urn:page:7") == "urn:page:7" and warc.surt("http://a.b:80") == "b,a)/"
