@@ -7,6 +7,7 @@ its rows as well as a larger one would.
 from __future__ import annotations
 
 import base64
+import contextlib
 import json
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,6 +20,7 @@ import tiktoken
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keyfold.llm.shared import columns, staged
 
@@ -114,7 +116,8 @@ def pack(docs: DataFrame, *, vocabulary: str, eos: int, length: int = 2048, shar
     ``length`` ids is cut into pieces, ``starts`` telling where in the document each piece begins. input_ids holds
     ``length`` little-endian numbers of 2 bytes (4 if eos needs them), padded by eos; position_ids 4-byte numbers that
     begin anew with every piece and with the padding; cu_seqlens the ends of the pieces, from 0.
-    A null or empty text is eos alone. Repeated rows are packed as often as they come. An empty table gives no rows.
+    A null or empty text is eos alone; a very long one is as many pieces as it needs, and none of its ids is lost.
+    Repeated rows are packed as often as they come. An empty table gives no rows.
     ``vocabulary``: a rank file, read on the driver.
     """
     ranks = Path(vocabulary).read_bytes()
@@ -139,7 +142,7 @@ def pack(docs: DataFrame, *, vocabulary: str, eos: int, length: int = 2048, shar
         if ids:
             yield from _packed(ids, owners, starts, length, eos, part << 32 | shard)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def unpack(rows: Iterable, *, vocabulary: str, eos: int) -> dict[int, str]:
@@ -154,9 +157,24 @@ def unpack(rows: Iterable, *, vocabulary: str, eos: int) -> dict[int, str]:
     return {doc: decode(ids[:-1].tolist()).decode() for doc, ids in whole.items()}
 
 
-def write_binary(packed: DataFrame, folder: str) -> DataFrame:
-    """Per task ``NAME.ids.bin`` and ``NAME.pos.bin`` (matrices by row), ``NAME.cu.bin`` (4-byte numbers, rows one after
-    the other) and ``NAME.json``; returns the manifest (name, rows). Files that it does not name are of lost tasks."""
+#: Rows that are read back together.
+ROWS = 1024
+MANIFEST = "name string, first long, rows long, piece_at long, pieces long"
+
+
+def write_binary(packed: DataFrame, folder: str, *, positions: str = "matrix") -> DataFrame:
+    """Per task NAME.ids.bin (the matrix of ids by row), NAME.cu.bin (ends of the pieces from 0, 4-byte numbers, rows one after
+    the other), NAME.pieces.bin (by piece three 8-byte numbers: 1 if there is a doc_id, doc_id, start), NAME.json, and
+
+    - positions="matrix": NAME.pos.bin, position ids by row, 4-byte numbers
+    - positions="resets": NAME.reset.bin, in the order of NAME.cu.bin the places at which positions begin anew, the padding's
+      last (``length`` where there is none): all that a reader needs, in a fraction of the bytes
+
+    Returns the manifest: by name and up to ROWS rows the first row, their number, the first piece and the number of
+    pieces. Files that it does not name are of lost tasks. A row of p pieces has p + 1 numbers in NAME.cu.bin.
+    """
+    if positions not in ("matrix", "resets"):
+        raise ValueError(f"positions are written as matrix or resets, not {positions!r}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = next(batches, None)
@@ -164,19 +182,63 @@ def write_binary(packed: DataFrame, folder: str) -> DataFrame:
             return
         fs, top = FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
-        name, rows, pieces = uuid.uuid4().hex, 0, []
-        with fs.open_output_stream(f"{top}/{name}.ids.bin") as ids, fs.open_output_stream(f"{top}/{name}.pos.bin") as pos, fs.open_output_stream(f"{top}/{name}.cu.bin") as cu:
+        name, lengths, chunks, done = uuid.uuid4().hex, [], [], 0
+        ends = {"ids": "ids", "cu": "cu", "pieces": "pieces", "pos": "pos" if positions == "matrix" else "reset"}
+        with contextlib.ExitStack() as stack:
+            out = {k: stack.enter_context(fs.open_output_stream(f"{top}/{name}.{end}.bin")) for k, end in ends.items()}
             while batch is not None:
-                for i, p, c in zip(*columns(batch, "input_ids", "position_ids", "cu_seqlens"), strict=True):
-                    ends = np.array(c.as_py(), "<u4")
-                    ids.write(i.as_py())
-                    pos.write(p.as_py())
-                    cu.write(ends.tobytes())
-                    pieces.append(len(ends))
-                    rows += 1
+                for ids, pos, cu, docs, starts in zip(*columns(batch, "input_ids", "position_ids", "cu_seqlens", "doc_ids", "starts"), strict=True):
+                    bounds, owners = np.array(cu.as_py(), "<u4"), docs.as_py()
+                    raw = ids.as_py()
+                    out["ids"].write(raw)
+                    out["cu"].write(bounds.tobytes())
+                    out["pieces"].write(np.array([(d is not None, d or 0, s) for d, s in zip(owners, starts.as_py(), strict=True)], "<i8").tobytes())
+                    out["pos"].write(pos.as_py() if positions == "matrix" else bounds.tobytes())
+                    if len(lengths) % ROWS == 0:
+                        chunks.append([len(lengths), 0, done, 0])
+                    lengths.append(len(bounds))
+                    done += len(owners)
+                    chunks[-1][1] += 1
+                    chunks[-1][3] += len(owners)
                 batch = next(batches, None)
         with fs.open_output_stream(f"{top}/{name}.json") as about:
-            about.write(json.dumps({"rows": rows, "cu_lengths": pieces}).encode())
-        yield pa.record_batch([pa.array([name]), pa.array([rows], pa.int64())], names=["name", "rows"])
+            about.write(json.dumps({"rows": len(lengths), "cu_lengths": lengths}).encode())
+        columns_ = zip(*chunks, strict=True)
+        yield pa.record_batch([pa.array([name] * len(chunks)), *(pa.array(c, pa.int64()) for c in columns_)], names=[f.split(" ")[0] for f in MANIFEST.split(", ")])
+
+    return staged(packed.mapInArrow(run, MANIFEST), "matrices")
+
+
+def read_binary(manifest: DataFrame, folder: str, *, length: int, eos: int) -> DataFrame:
+    """(name, row, n_tokens, doc_ids, starts, cu_seqlens, input_ids, position_ids) from what ``write_binary`` wrote.
+
+    Every row of the manifest is read by ranges, so that a large file is many tasks' work.
+    """
+    width = 2 if eos < 1 << 16 else 4
+    schema = "name string, row long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = FileSystem.from_uri(folder)
 
-    return staged(packed.mapInArrow(run, "name string, rows long"), "matrices")
+        def at(name: str, end: str, first: int, n: int, size: int) -> bytes:
+            with fs.open_input_file(f"{top}/{name}.{end}.bin") as source:
+                return source.read_at(n * size, first * size)
+
+        for name, first, rows, piece_at, n in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            ids = at(name, "ids", first, rows, length * width)
+            cu = np.frombuffer(at(name, "cu", piece_at + first, n + rows, 4), "<u4").astype(np.int64)
+            pieces = np.frombuffer(at(name, "pieces", piece_at, n, 24), "<i8").reshape(-1, 3)
+            edges = np.append(np.flatnonzero(cu == 0), len(cu))  # a row's first number is its only 0
+            out: list[list] = [[] for _ in kinds]
+            for k in range(rows):
+                ends = cu[edges[k] : edges[k + 1]]
+                own = pieces[edges[k] - k : edges[k + 1] - k - 1]
+                begins = ends[:-1] if ends[-1] == length else ends
+                position = np.arange(length) - np.repeat(begins, np.diff(np.append(begins, length)))
+                values = (name, first + k, int(ends[-1]), [d if has else None for has, d, _ in own.tolist()], own[:, 2].tolist(), ends.tolist(), ids[k * length * width : (k + 1) * length * width], position.astype("<u4").tobytes())
+                for column, v in zip(out, values, strict=True):
+                    column.append(v)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[f.split(" ")[0] for f in schema.split(", ")])
+
+    return manifest.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(run, schema)

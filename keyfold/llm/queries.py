@@ -40,7 +40,9 @@ def op3_pii(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_table(spark, d, "documents"), vocabulary=f"{TOKENIZERS}/byte_bpe_50k.tiktoken", eos=50256, length=2048)
+    eos, length, folder = 50256, 2048, new_folder(spark, "packed")
+    packed = packing.pack(_table(spark, d, "documents"), vocabulary=f"{TOKENIZERS}/byte_bpe_50k.tiktoken", eos=eos, length=length)
+    return packing.read_binary(packing.write_binary(packed, folder, positions="resets"), folder, length=length, eos=eos)
 
 
 def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:

@@ -78,3 +78,28 @@ def test_shards_long_texts_nulls_and_files(spark, tmp_path):
     about = [json.loads((tmp_path / "m" / f"{f['name']}.json").read_text()) for f in files]
     assert sum(a["rows"] for a in about) == sum(f["rows"] for f in files) == len(rows)
     assert packing.pack(df.limit(0), vocabulary=VOCABULARY, eos=EOS).count() == 0
+
+
+@pytest.mark.parametrize("positions", ["matrix", "resets"])
+def test_written_rows_come_back(spark, tmp_path, monkeypatch, positions):
+    monkeypatch.setattr(packing, "ROWS", 7)
+    rows = [(1, "word " * 500), (1, "word " * 500), (None, "no id"), (3, None), *((10 + i, "a b c " * i) for i in range(40))]
+    df = spark.createDataFrame([(*r, "x", 0, 0) for r in rows], "doc_id int, text string, shard string, row int, input_ids int").repartition(2)
+    packed = packing.pack(df, vocabulary=VOCABULARY, eos=EOS, length=64).cache()
+    folder = f"file://{tmp_path}/m"
+    manifest = packing.write_binary(packed, folder, positions=positions)
+    got = packing.read_binary(manifest, folder, length=64, eos=EOS).collect()
+    rows_are_sound(got, 64)
+    same = ("n_tokens", "doc_ids", "starts", "cu_seqlens", "input_ids", "position_ids")
+    key = lambda r: str([r[c] for c in same])
+    assert sorted(map(key, got)) == sorted(map(key, packed.collect())) and len({(r["name"], r["row"]) for r in got}) == len(got)
+    assert manifest.filter("rows > 7").count() == 0 and manifest.count() > 4
+    with pytest.raises(ValueError, match="matrix"):
+        packing.write_binary(packed, folder, positions="none")
+
+
+def test_a_very_long_text_loses_nothing(spark):
+    text = "".join(f"w{i * i % 7919} " for i in range(300_000))
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(df, vocabulary=VOCABULARY, eos=EOS).collect()
+    assert packing.unpack(rows, vocabulary=VOCABULARY, eos=EOS) == {1: text, 2: "short"}

@@ -1,4 +1,7 @@
 from pathlib import Path
+from types import SimpleNamespace
+
+import pytest
 
 from keyfold.llm import shared
 
@@ -19,3 +22,21 @@ def test_wrapped_columns_come_back_in_order(spark):
     w = shared.wrapped(df, "key")
     assert w.columns == ["row", "key"] and w.select(*shared.unwrapped(w)).columns == df.columns
     assert w.select(*shared.unwrapped(w, "row")).columns == ["a.b", "key"]
+
+
+def test_no_folder_of_our_own_off_a_local_master():
+    none = SimpleNamespace(get=lambda *_: None)
+    held = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(getConf=lambda: none, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)), master="local-cluster[3,2,1024]")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(SimpleNamespace(conf=none, sparkContext=context))
+
+
+def test_last_staged_drops_what_was_staged_on_the_way(spark):
+    before = shared.staged_folders()
+    a = shared.staged(spark.range(3), "a")
+    kept = shared.staged_folders()
+    b = shared.staged(a.withColumn("x", a.id + 1), "b")
+    c = shared.last_staged(b.filter("x > 1"), "c", kept)
+    assert c.count() == 2 and a.count() == 3 and len(shared.staged_folders()) == len(before) + 2
+    shared.drop_staged(spark, [f for f in shared.staged_folders() if f not in before])
