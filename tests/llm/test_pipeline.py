@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -61,3 +62,19 @@ def test_clashing_columns_nulls_and_an_empty_table(spark):
             docs = stage(spark, docs, SMALL)
             assert k == 4 or docs.columns == [c.split(" ")[0] for c in names.split(", ")]
             assert (docs.count() == 0) == empty
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: ". ".join(" ".join(word() for _ in range(12)) for _ in range(n))
+    rows = [(i, prose(10), "en", f"s{i % 3}", 0) for i in range(30)] + [(100, prose(20_000), "en", "s0", 0)]
+    rows += [rows[3]] * 40 + [(200 + i, rows[3][1], "en", "s1", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SMALL)
+        ids = [r[0] for r in docs.select("doc_id").collect()]
+        if k == 2:
+            assert sorted(ids) == [*range(30), 100]
+        assert k > 2 or 100 in ids
+    assert docs.filter("not lossless").count() == 0 and max(Counter(ids).values()) <= 3

@@ -70,3 +70,26 @@ def test_nulls_clashes_and_empty(spark):
     assert quality.fit(df, none) == []
     shout = df.limit(1).withColumn("text", F.lit(good.upper()))
     assert quality.judged(shout, rules).first()["rule"] == "upper_share > 0.5"
+
+
+def test_verdicts_are_those_of_the_rules_worked_out_in_python(spark):
+    source, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    rules = quality.fit(source, labels)
+    assert rules
+    texts = {r[0]: r[1] for r in source.select("doc_id", "text").collect()}
+    rows = {r["doc_id"]: r for r in op10_quality(spark, SMALL).collect()}
+    assert set(rows) == set(texts)
+    for i, text in texts.items():
+        c = dict(zip(quality.COUNTS, quality.count(text.encode()), strict=True))
+        value = {f: c[top] / max(c[bottom], 1) for f, (top, bottom) in quality.RATIOS.items()}
+        hits = [r for r in rules if all((value[x.feature] > x.threshold) == x.above for x in r)]
+        failed = c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"]
+        assert rows[i]["rule"] == (" and ".join(map(str, hits[0])) if hits else None)
+        assert (rows[i]["base_failed"], rows[i]["kept"]) == (failed, not failed and not hits)
+
+
+def test_further_counts_and_a_very_long_text():
+    text = "Ab 12! cd. " * 50 + "\n" + " ".join(f"w{i}" for i in range(400_000))
+    c = dict(zip(quality.COUNTS, quality.count(text.encode()), strict=True))
+    assert c["n_words"] == 400_150 and c["n_upper"] == 50 and c["n_marks"] == 50 and c["n_stops"] == 50 and c["n_lines"] == 2
+    assert c["n_digits"] == 100 + sum(len(str(i)) for i in range(400_000)) and c["n_repeat_words"] == 150 and c["n_block_distinct"] == 3 + 53 + 400_000 - 50
