@@ -287,7 +287,7 @@ def _linked(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int
 
 
 def links_between(fps: DataFrame, parts: Parts, distance: int, turn: int | None) -> DataFrame:
-    """(a, b, partly): nodes a < b within ``distance`` bits that are of different groups, ``of``, in (fp, node, of) rows.
+    """(a, b, of_a, of_b, partly): nodes a < b within ``distance`` bits that are of different groups, ``of``, in (fp, node, of) rows.
 
     All such pairs where ``turn`` is None. Else a bucket with more than MANY pairs a row sends a forest over its groups,
     another one each turn, and these links are ``partly`` what there is. Fingerprints may repeat.
@@ -298,7 +298,7 @@ def links_between(fps: DataFrame, parts: Parts, distance: int, turn: int | None)
         for rows, starts, sizes in whole_buckets(batches):
             yield _linked_between(rows, starts, sizes, distance, turn, many)
 
-    return in_blocks(probes(fps, parts), "node", BLOCK).mapInArrow(run, "a long, b long, partly boolean")
+    return in_blocks(probes(fps, parts), "node", BLOCK).mapInArrow(run, "a long, b long, of_a long, of_b long, partly boolean")
 
 
 def _linked_between(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, distance: int, turn: int | None, many: int) -> pa.RecordBatch:
@@ -321,8 +321,9 @@ def _linked_between(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, dista
         partly.append(np.full(len(a), cut))
     i, j = (np.concatenate(x or [np.empty(0, np.int64)]).astype(np.int64) for x in (left, right))
     partly = np.concatenate(partly or [np.empty(0, bool)])
-    a, b, use = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), of[i] != of[j]
-    return pa.record_batch([pa.array(a[use]), pa.array(b[use]), pa.array(partly[use])], names=["a", "b", "partly"])
+    use, turned = of[i] != of[j], node[i] > node[j]
+    i, j = np.where(turned, j, i)[use], np.where(turned, i, j)[use]
+    return pa.record_batch([pa.array(x) for x in (node[i], node[j], of[i], of[j], partly[use])], names=["a", "b", "of_a", "of_b", "partly"])
 
 
 #: Pairs a row from which on a bucket's pairs between groups are not all sent at once.
@@ -370,12 +371,12 @@ def texts_of(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
 
 
 def similar_links(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links whose texts' shingle sets have ``similarity`` of their union in common."""
+    """Those links, a and b, whose texts' shingle sets have ``similarity`` of their union in common."""
     x, y = (sets.select(F.col("node").alias(end), F.col("s").alias(s)) for end, s in (("a", "x"), ("b", "y")))
     both = edges.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("x", "y"))
     kept = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
-    return staged(kept.select("a", "b"), "similar")
+    return staged(kept.select(*edges.columns), "similar")
 
 
 def open_nodes(reach: DataFrame, groups: DataFrame) -> DataFrame:
@@ -385,6 +386,21 @@ def open_nodes(reach: DataFrame, groups: DataFrame) -> DataFrame:
     return held.join(several.select("reach"), "reach", "left_semi").select("node", "of")
 
 
+def between(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges whose ends are of different groups, with these as ``of_a`` and ``of_b``; a node without a group is its own."""
+    for end in ("a", "b"):
+        edges = edges.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    return edges.filter("of_a <> of_b")
+
+
+def regrouped(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Groups (node, component) after ``pairs`` (of_a, of_b) of them have been joined: only pairs of groups are followed."""
+    label = components(pairs.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    moved = groups.join(label.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    alone = label.join(groups, "node", "left_anti").select("node", "component")
+    return staged(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(alone), "groups")
+
+
 def similar_groups(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, parts: dict[str, Parts], distance: int, shingle: int, similarity: float) -> DataFrame:
     """(node, component) under all pairs within ``distance`` bits in a print whose texts have the similarity.
 
@@ -393,14 +409,18 @@ def similar_groups(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, parts
     """
     edges = staged(edges.groupBy("a", "b").agg(F.min("far").alias("far")), "links")
     sets = texts_of(edges, nodes, docs, shingle)
-    groups = components(similar_links(edges.filter(F.col("far") <= NEARER), sets, similarity))
-    across = edges.filter(F.col("far") > NEARER)
-    for end in ("a", "b"):
-        across = across.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    across = staged(across.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "far"), "across")
-    more = similar_links(across, sets, similarity)
-    joined = lambda groups, more: staged(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
-    groups, reach = joined(groups, more), staged(components(edges.select("a", "b")), "reach")
+    near = edges.filter(F.col("far") <= NEARER)
+    held = similar_links(near, sets, similarity)
+    groups = staged(components(held.select("a", "b")), "groups")
+    failed = near.join(held.select("a", "b"), ["a", "b"], "left_anti")
+    tried = staged(between(failed.unionByName(edges.filter(F.col("far") > NEARER)), groups), "across")
+    groups = regrouped(groups, similar_links(tried.filter(F.col("far") > NEARER), sets, similarity))
+    open_ = staged(between(tried.select("a", "b"), groups).select("of_a", "of_b").distinct(), "open")
+    if open_.isEmpty():
+        return groups
+    reach = components(open_.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("of"), F.col("component").alias("reach"))
+    own = nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("of"))
+    reach = staged(own.join(reach, "of").select("node", F.col("reach").alias("component")), "reach")
     checked, turn = edges.select("a", "b"), 0
     while True:
         left = staged(nodes.join(open_nodes(reach, groups), "node").select("node", "of", *parts), "open")
@@ -410,15 +430,15 @@ def similar_groups(edges: DataFrame, nodes: DataFrame, docs: DataFrame, *, parts
         for fp, p in parts.items():
             more = links_between(left.select(F.col(fp).alias("fp"), "node", "of"), p, distance, turn)
             found = more if found is None else found.unionByName(more)
-        found = staged(found.groupBy("a", "b").agg(F.max("partly").alias("partly")), "between")
-        new = staged(found.select("a", "b").join(checked, ["a", "b"], "left_anti"), "unchecked")
+        found = staged(found.groupBy("a", "b", "of_a", "of_b").agg(F.max("partly").alias("partly")), "between")
+        new = staged(found.drop("partly").join(checked, ["a", "b"], "left_anti"), "unchecked")
         held = similar_links(new, sets, similarity)
         n_new, n_held = new.count(), held.count()
         if n_held:
-            groups = joined(groups, held)
+            groups = regrouped(groups, held)
         if found.filter("partly").isEmpty():
             return groups
-        checked = checked.unionByName(new)
+        checked = checked.unionByName(new.select("a", "b"))
         turn = turn + 1 if turn is not None and n_held > WORTH * n_new else None
 
 
