@@ -29,7 +29,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8."""
-    return simhash.one_of_each_group(docs, shingle=5, distance=10, prints=3, similarity=0.8)
+    return simhash.one_of_each_group(docs, shingle=5, distance=10, prints=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
